@@ -8,10 +8,11 @@ two rounds, so that a group of near copies isn't expanded into its pairs:
 1. each representative goes to the smallest representative that it shares a bucket with. These
    groups, dealt in tiles of bounded size, meet with their full sets, which confirm or refuse
    each pair of a tile. Confirmed links give first components.
-2. in buckets that still hold several components, pairs across components are compared by
-   signature, tile against tile, and those that may be similar enough are confirmed on full sets.
+2. in buckets that still hold several components, signatures tell, tile against tile, which representatives may have a
+   link across components. Those of smaller components are guests of the largest. Each guest meets one tile of those
+   at home with full sets, which brings most of them in; the few that stay out then meet all tiles.
 
-Every pair that shares a bucket is thus confirmed, refused, or already in one component.
+Every pair that shares a bucket is thus confirmed, refused by signature or set, or already in one component.
 Components come from alternating large-star and small-star.
 
 Defined cases: without words or text a set is empty and linked with nothing; with fewer words than
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -38,7 +39,7 @@ SLACK = 4.5
 #: Members of a tile.
 TILE = 256
 #: Rows of (document, group) up to which they are broadcast to the texts; beyond, texts are shuffled to them.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -134,15 +135,20 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: C.Scratch) -> DataFrame:
-    """Links (a, b) confirmed on full sets: enough to join what all links within a tile join.
-
-    pairs (a, b, a_key, b_key): each a meets its bs, dealt in tiles of TILE; all pairs of a tile are confirmed or refused.
-    """
+def tiled(pairs: DataFrame) -> DataFrame:
+    """Groups (a, tile, doc, key) in which each a of pairs (a, b, a_key, b_key) meets its bs, TILE at a time."""
     tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("tiles")).withColumnRenamed("a", "hub")
     dealt = pairs.join(tiles.hint("merge"), F.col("a") == F.col("hub")).withColumn("tile", F.pmod(F.xxhash64("b"), F.col("tiles")))
     heads = dealt.groupBy("a", "tile").agg(F.first("a_key").alias("key")).select("a", "tile", F.col("a").alias("doc"), "key")
-    groups = scratch.keep(dealt.select("a", "tile", F.col("b").alias("doc"), F.col("b_key").alias("key")).union(heads))
+    return dealt.select("a", "tile", F.col("b").alias("doc"), F.col("b_key").alias("key")).union(heads)
+
+
+def links(docs: DataFrame, groups: DataFrame, words: int, percent: int, scratch: C.Scratch) -> DataFrame:
+    """Links (a, b) confirmed on full sets, all pairs of a group (a, tile, doc, key) being confirmed or refused.
+
+    Of a group's links, as many come out as join what all of them join.
+    """
+    groups = scratch.keep(groups)
     few = groups.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", "text").join(F.broadcast(groups) if few else groups, F.col("doc_id") == F.col("doc")).select("a", "tile", "doc", "key", "text")
 
@@ -173,45 +179,82 @@ def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int, scratch:
     return scratch.keep(found.repartition("a", "tile").sortWithinPartitions("a", "tile").mapInPandas(confirm, "a long, b long"))
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, a_key, b_key) of members (bucket, rep, key, n, signature, component) of one bucket that lie in
-    different components and whose signatures allow the similarity.
+def meetings(members: DataFrame, percent: int) -> DataFrame:
+    """(main, rep, key, guest): representatives that may have a link across components, by their signatures.
 
-    The largest component of a bucket is never compared with itself: its tiles meet those of the rest.
+    members has (bucket, rep, key, n, signature, component). main is the largest component of a bucket,
+    in which a rep is at home or a guest. The largest component is never compared with itself: its tiles meet
+    those of the guests, which also meet each other.
     """
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("kinds")).filter("kinds > 1")
     sizes = sizes.select(F.col("bucket").alias("at"), F.col("top.component").alias("main"), F.ceil(F.col("top.rows") / TILE).alias("main_tiles"), F.ceil((F.col("all") - F.col("top.rows")) / TILE).alias("rest_tiles"))
     rows = members.join(sizes.hint("merge"), F.col("bucket") == F.col("at"))
     number = F.xxhash64(F.lit(3), "rep")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     m, r = F.pmod(number, "main_tiles"), F.pmod(number, "rest_tiles")
     group = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     mains = F.transform(upto("rest_tiles"), lambda i: group(0, i, m, F.lit(0)))
     rest = F.concat(F.transform(upto("main_tiles"), lambda j: group(0, r, j, F.lit(1))), F.transform(upto("rest_tiles"), lambda v: group(1, F.least(r, v), F.greatest(r, v), F.when(r <= v, 0).otherwise(1))))
-    # a tile against itself has all its rows on side 0 and on side 1
-    dealt = rows.withColumn("g", F.explode(F.when(F.col("component") == F.col("main"), mains).otherwise(rest))).select("bucket", "g.*", "rep", "key", "n", "signature", "component")
+    keys = ["bucket", "kind", "i", "j"]
+    dealt = rows.withColumn("g", F.explode(F.when(F.col("component") == F.col("main"), mains).otherwise(rest))).select("bucket", "g.*", "rep", "key", "n", "signature", "component", "main")
     need = percent / 100
     least = (need - SLACK * (need * (1 - need) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f, starts in C.whole_groups(frames, ["bucket", "kind", "i", "j"]):
+        for f, starts in C.whole_groups(frames, keys):
             signs = np.frombuffer(b"".join(f.signature), np.uint8).reshape(len(f), -1)
-            ids, n, part, keys = f.rep.to_numpy(np.int64), f.n.to_numpy(np.int64), f.component.to_numpy(np.int64), f.key.to_numpy(object)
+            n, part = f.n.to_numpy(np.int64), f.component.to_numpy(np.int64)
             side, same = f.side.to_numpy(), (f.kind.to_numpy() == 1) & (f.i.to_numpy() == f.j.to_numpy())
-            out = []
+            fits = np.zeros(len(f), bool)
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 rows = np.arange(lo, hi)
                 x, y = (rows, rows) if same[lo] else (rows[side[lo:hi] == 0], rows[side[lo:hi] == 1])
                 for k in x:
-                    fits = y[(part[y] != part[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
-                    fits = fits[(signs[fits] == signs[k]).sum(1) >= least]
-                    out += [(k, q) if ids[k] < ids[q] else (q, k) for q in fits]
-            p, q = np.array(out, np.int64).reshape(-1, 2).T
-            yield pd.DataFrame({"a": ids[p], "b": ids[q], "a_key": keys[p], "b_key": keys[q]}).drop_duplicates(["a", "b"])
+                    near = y[(part[y] != part[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
+                    near = near[(signs[near] == signs[k]).sum(1) >= least]
+                    fits[near] = True
+                    fits[k] |= len(near) > 0
+            out = f.loc[fits, ["main", "rep", "key"]]
+            yield out.assign(guest=(part != f.main.to_numpy(np.int64))[fits]).drop_duplicates(["main", "rep"])
 
-    dealt = dealt.repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j")
-    return dealt.mapInPandas(compare, "a long, b long, a_key binary, b_key binary").dropDuplicates(["a", "b"])
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(compare, "main long, rep long, key binary, guest boolean").dropDuplicates(["main", "rep"])
+
+
+def upto(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+
+def first_visits(met: DataFrame) -> DataFrame:
+    """Groups (a, tile, doc, key) of met (main, rep, key, guest) in which each guest meets one tile of those at home.
+
+    Where guests and those at home are a tile each, that is all there is to compare.
+    """
+    n = met.groupBy("main").agg(F.ceil(F.count_if(~F.col("guest")) / TILE).alias("homes"), F.ceil(F.count_if("guest") / TILE).alias("guests")).withColumnRenamed("main", "at")
+    rows = met.join(n.filter("guests > 0").hint("merge"), F.col("main") == F.col("at"))
+    number = F.xxhash64(F.lit(5), "rep")
+    home = F.pmod(number, F.greatest("homes", F.lit(1)))
+    tiles = F.when(F.col("guest"), F.array(F.pmod(number, "guests"))).otherwise(F.filter(upto("guests"), lambda g: F.pmod(g, F.greatest("homes", F.lit(1))) == home))
+    return rows.select(F.col("main").alias("a"), F.explode(tiles).alias("tile"), F.col("rep").alias("doc"), "key")
+
+
+def all_visits(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups in which the guests that are still in another component than main meet everyone else there, tile by tile."""
+    now = found.select(F.col("node"), F.col("component").alias("now"))
+    rows = met.join(now, met.rep == now.node, "left").withColumn("own", F.coalesce("now", "rep")).drop("node", "now")
+    rows = rows.join(now, rows.main == now.node, "left").withColumn("host", F.coalesce("now", "main")).drop("node", "now")
+    rows = rows.withColumn("left", F.col("guest") & (F.col("own") != F.col("host")))
+    n = rows.groupBy("main").agg(F.count("*").alias("all"), F.count_if("guest").alias("guests"), F.count_if("left").alias("still"))
+    # up to one tile of guests and one of others, the first visits have compared all
+    n = n.filter((F.col("still") > 0) & ((F.col("guests") > TILE) | (F.col("all") - F.col("guests") > TILE)))
+    n = n.select(F.col("main").alias("at"), F.ceil(F.col("all") / TILE).alias("tiles"), F.ceil(F.col("still") / TILE).alias("rounds"))
+    rows = rows.join(n.hint("merge"), F.col("main") == F.col("at"))
+    number = F.xxhash64(F.lit(7), "rep")
+    tile, turn = F.pmod(number, "tiles"), F.pmod(number, "rounds")
+    pair = lambda r, t: r * F.col("tiles") + t
+    groups = F.transform(upto("rounds"), lambda r: pair(r, tile))
+    groups = F.when(F.col("left"), F.array_union(groups, F.transform(upto("tiles"), lambda t: pair(turn, t)))).otherwise(groups)
+    return rows.select(F.col("main").alias("a"), F.explode(groups).alias("tile"), F.col("rep").alias("doc"), "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -228,12 +271,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     keys = reps.select("rep", "key")
     named = heads.join(keys, "rep").select(F.col("head").alias("a"), F.col("rep").alias("b"), F.col("key").alias("b_key"))
     named = named.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("a_key")), "a")
-    first = links(docs, named, words, percent, scratch)
+    first = links(docs, tiled(named), words, percent, scratch)
     found = components(first, scratch)
     wide = members.select("bucket", "rep").join(reps.select("rep", "key", "n", "signature"), "rep")
     wide = wide.join(found, wide.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    second = links(docs, across(wide, percent), words, percent, scratch)
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second), scratch)
+    met = scratch.keep(meetings(wide, percent))
+    for visits in (lambda: first_visits(met), lambda: all_visits(met, found)):
+        more = links(docs, visits(), words, percent, scratch)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
     named = reps.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("its"), F.coalesce("component", "rep").alias("found"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, F.col("key") == F.col("its"), "left")
     component = F.coalesce("found", "doc_id")
