@@ -36,7 +36,7 @@ CALIBRATE = 0.25
 REJECT = 1.6
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15
-_MEMO, _LONG = 400_000, 64
+_MEMO, _LONG = 150_000, 64
 
 
 def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -38,6 +38,8 @@ BANDS, ROWS = 32, 5
 SLACK = 4.5
 #: Members of a tile.
 TILE = 256
+#: Hashes of a tile that are compared at once.
+RANGE = 400_000
 #: Rows of (document, group) up to which they are broadcast to the texts; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 200_000
 _RNG = np.random.default_rng(20240607)
@@ -116,7 +118,21 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of blocks of the incidence matrix."""
+    """Sizes of the intersections of all pairs of sorted sets, by products of blocks of the incidence matrix.
+
+    Ranges of hashes are taken one after another, so that memory is bounded for sets of any size.
+    """
+    total = np.zeros((len(sets), len(sets)))
+    ranges = 1 + sum(map(len, sets)) // RANGE
+    at = np.zeros(len(sets), np.int64)
+    for k in range(ranges):
+        upto = np.array([len(s) if k + 1 == ranges else np.searchsorted(s, np.uint64((k + 1) * ((1 << 64) // ranges))) for s in sets])
+        total += _shared([s[i:j] for s, i, j in zip(sets, at, upto, strict=True)])
+        at = upto
+    return total
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     total = np.zeros((len(sets), len(sets)))
@@ -127,9 +143,9 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     owner, at = owner[at >= 0], at[at >= 0]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    for i in range(0, len(common), 8192):
-        lo, hi = np.searchsorted(at, [i, i + 8192])
-        block = np.zeros((len(sets), min(8192, len(common) - i)), np.float32)
+    for i in range(0, len(common), 4096):
+        lo, hi = np.searchsorted(at, [i, i + 4096])
+        block = np.zeros((len(sets), min(4096, len(common) - i)), np.float32)
         block[owner[lo:hi], at[lo:hi] - i] = 1
         total += block @ block.T
     return total

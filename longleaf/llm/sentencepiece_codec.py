@@ -35,9 +35,9 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Stretches that a task remembers, and the length up to which it does.
-MEMO, MEMO_LENGTH = 600_000, 48
-#: Characters of a stretch whose lattice is remembered for the next that begins alike.
-HEAD = 8
+MEMO, MEMO_LENGTH = 300_000, 48
+#: Characters of a stretch whose lattice is remembered for the next that begins alike, and how many of these.
+HEAD, HEADS = 8, 100_000
 #: Characters between attempts to commit.
 STEP = 64
 
@@ -96,6 +96,8 @@ class Model:
         letters = set("".join(self.ids))
         # no piece holds these next to anything else, or has a blank after another character
         self.apart = "".join(c for c in "\n\r\t" if c not in letters)
+        #: Neighbours within a piece: between all others lies a certain boundary.
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.by_blank = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         pieces_left = [p for p in self.ids if self.kind == UNIGRAM or self.merged(p) == [p]]
         #: Names of the codes of pieces that a text can end in; unknown characters join as they come.
@@ -235,17 +237,28 @@ class Codec:
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNUSED) else p.replace(BLANK, " ").encode() for p, _, t in m.pieces]
         self.raw[m.unknown] = " ⁇ ".encode()
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.heads.clear()
+
     def _stretch(self, text: str) -> tuple[int, ...]:
         m = self.model
         if len(text) > MEMO_LENGTH:
             s = Stream(m)
             return tuple(chain.from_iterable(map(m.id_of, [*s.push(text), *s.finish()])))
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in m.inner]
+        if cuts:  # no piece lies across these
+            parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            ids = self.memo[text] = tuple(chain.from_iterable([self.memo.get(p) or self._stretch(p) for p in parts]))
+            return ids
         size, last, total, end, back = [0], [0], [0.0], len(text), []
         if end > HEAD:  # the lattice of a beginning doesn't depend on what follows
             known = self.heads.get(text[:HEAD])
             if known is None:
                 m.extend(text[:HEAD], size, last, total, True)
-                if len(self.heads) > MEMO:
+                if len(self.heads) > HEADS:
                     self.heads.clear()
                 known = self.heads[text[:HEAD]] = (size, last, total)
             size, last, total = known[0][:], known[1][:], known[2][:]
@@ -253,8 +266,6 @@ class Codec:
         while end:
             back.append(m.id_of(m.names[last[end]]))
             end -= size[end]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         ids = self.memo[text] = tuple(chain.from_iterable(reversed(back)))
         return ids
 
@@ -274,7 +285,7 @@ class Codec:
 
 
 def codec_of(data: bytes) -> Codec:
-    """The codec of this process: what it remembers serves all tasks that a worker runs."""
+    """The codec of this process, which serves all tasks that a worker runs; tasks clear what they remembered."""
     kept = sys.__dict__.setdefault("_longleaf_codecs", {})
     if hash(data) not in kept:
         kept.clear()
@@ -303,6 +314,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
                     "doc_id": part.doc_id.array, "n_tokens": [0 if x is None else len(x) for x in ids], "n_chars": [0 if t is None else len(t) for t in part.text],
                     "round_trip": back, "ids": [None if x is None else np.array(x, np.int32) for x in ids],
                 })
+        codec.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, n_tokens long, n_chars long, round_trip boolean, ids array<int>")
