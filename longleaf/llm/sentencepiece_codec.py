@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,9 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Stretches that a task remembers, and the length up to which it does.
-MEMO, MEMO_LENGTH = 300_000, 48
+MEMO, MEMO_LENGTH = 400_000, 48
+#: Of these, how many a worker keeps from one task to the next.
+KEPT = 120_000
 #: Characters of a stretch whose lattice is remembered for the next that begins alike, and how many of these.
 HEAD, HEADS = 8, 100_000
 #: Characters between attempts to commit.
@@ -142,27 +144,33 @@ class Model:
         """
         code, fits, bpe = self.code, self.fits, self.kind == BPE
         for end in range(len(size), len(text) + 1):
-            found = []
-            for n in range(1, end + 1):
-                k = code.get(text[end - n : end])
-                if k is None or k == 0 and n == 1:
-                    if n > 1:
-                        break
-                    k = self.stranger(text[end - 1])
-                if k:
-                    found.append((n, k))
-            if bpe:
-                for n, k in reversed(found):
-                    at = end - n
-                    if n == 1 or at == 0:
-                        if n == 1 or first:
+            if bpe:  # one piece fits at most, so the shortest is tried first; if none is known to, it is the last letter
+                best, n = 0.0, 1
+                one = k = code.get(text[end - 1]) or self.stranger(text[end - 1])
+                while True:
+                    if k:
+                        at = end - n
+                        if at:
+                            key = last[at] << 32 | k
+                            if fits[key] if key in fits else self.neighbours(last[at], k):
+                                break
+                        elif first:
                             break
-                        continue
-                    key = last[at] << 32 | k
-                    if fits[key] if key in fits else self.neighbours(last[at], k):
+                    n += 1
+                    k = code.get(text[end - n : end]) if n <= end else None
+                    if k is None:
+                        n, k = 1, one
                         break
-                best = 0.0
             else:
+                found = []
+                for n in range(1, end + 1):
+                    k = code.get(text[end - n : end])
+                    if n == 1:
+                        k = k or self.stranger(text[end - 1])
+                    elif k is None:
+                        break
+                    if k:
+                        found.append((n, k))
                 best, n, k = max((total[end - n] + self.score.get(self.names[k], self.penalty), n, k) for n, k in found)
             size.append(n)
             last.append(k)
@@ -237,17 +245,17 @@ class Codec:
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNUSED) else p.replace(BLANK, " ").encode() for p, _, t in m.pieces]
         self.raw[m.unknown] = " ⁇ ".encode()
 
-    def forget(self) -> None:
-        self.memo.clear()
+    def forget(self, keep: int = KEPT) -> None:
+        """Keep the stretches that came first, which are the frequent ones."""
         self.heads.clear()
+        if len(self.memo) > keep:
+            self.memo = dict(islice(self.memo.items(), keep))
 
     def _stretch(self, text: str) -> tuple[int, ...]:
         m = self.model
         if len(text) > MEMO_LENGTH:
             s = Stream(m)
             return tuple(chain.from_iterable(map(m.id_of, [*s.push(text), *s.finish()])))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in m.inner]
         if cuts:  # no piece lies across these
             parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
@@ -273,6 +281,8 @@ class Codec:
         if not text:
             return []
         text = (BLANK if self.model.prefix else "") + text.replace(" ", BLANK)
+        if len(self.memo) > MEMO:
+            self.forget(MEMO // 2)
         get, own = self.memo.get, self._stretch
         ids = list(chain.from_iterable([get(s) or own(s) for s in self.stretches(text)]))
         if not self.model.bytes:  # a run of unknown characters is one id
@@ -285,7 +295,7 @@ class Codec:
 
 
 def codec_of(data: bytes) -> Codec:
-    """The codec of this process, which serves all tasks that a worker runs; tasks clear what they remembered."""
+    """The codec of this process, which serves all tasks that a worker runs; tasks leave little of what they remembered."""
     kept = sys.__dict__.setdefault("_longleaf_codecs", {})
     if hash(data) not in kept:
         kept.clear()
