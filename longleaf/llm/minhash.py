@@ -118,7 +118,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sorted sets, by products of blocks of the incidence matrix.
+    """Sizes of the intersections of all pairs of different sorted sets (not of a set with itself), by products of blocks of the incidence matrix.
 
     Ranges of hashes are taken one after another, so that memory is bounded for sets of any size.
     """
