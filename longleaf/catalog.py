@@ -117,7 +117,7 @@ def apportion_tokens(spark, d):
     order = job.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     part = F.floor(1000 * F.col("l_quantity") / F.sum("l_quantity").over(job))
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).alias("k"), F.count("*").over(job).alias("n"), part.alias("part"))
-    left = 1000 - F.coalesce(F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = 1000 - F.coalesce(F.sum("part").over(job.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.select("l_orderkey", "l_linenumber", F.when(F.col("k") == F.col("n"), left).otherwise(F.col("part")).cast("long").alias("share"))
 
 
