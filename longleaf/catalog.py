@@ -1,29 +1,16 @@
-"""The registered queries: name to callable, and name to the SQL that must give the same rows."""
+"""Queries of documents, conversations, run ledgers and event logs; the modules of `plans` add theirs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 from longleaf.operators.packing import pack
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-_TOKENS = "CASE WHEN text IS NULL THEN 0 ELSE CAST((length(text) + 3 * (length(text) - length(regexp_replace(text, '{u}', '', 'g'))) + 3) // 4 AS BIGINT) END".replace("{u}", T.UNSPACED)
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')"
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from longleaf.plans import estimates, events, glossary, quality, scalars, store  # noqa: F401
+from longleaf.registry import QUERIES, SQL, query, read  # noqa: F401
+from longleaf.registry import TOKENS as _TOKENS
+from longleaf.registry import WORDS as _WORDS
 
 
 @query(f"SELECT lang, count(*) AS docs, CAST(sum({_TOKENS}) AS BIGINT) AS tokens, max({_TOKENS}) AS most FROM documents GROUP BY lang")

@@ -51,3 +51,22 @@ def normal_signs(text: Column) -> Column:
 
 def occurrences(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def space_delimited(text: Column, least: float) -> Column:
+    """Whether blanks are at least this share of the letters; a text without letters counts as spaced."""
+    letters, blanks = occurrences(text, r"\p{L}"), occurrences(text, r"\s")
+    return (letters == 0) | (blanks / F.greatest(letters, F.lit(1)) >= least)
+
+
+def marker_ids(text: Column) -> Column:
+    """Ids of opening and empty numbered markers, in order and with repeats."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"<[mr][0-9]+/?>"), 0), lambda x: F.regexp_replace(x, "[</>]", ""))
+
+
+def first_kind(value: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
+    """The name of the first pattern that the value fits, or null."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, pattern in kinds:
+        out = out.when(value.rlike(pattern), name)
+    return out
