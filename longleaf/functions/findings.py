@@ -41,8 +41,16 @@ def commentary(text: Column) -> Column:
 
 
 def repetition(text: Column) -> Column:
-    """Whether the same word stands four times in a row, ASCII case and punctuation around it aside."""
-    w = F.transform(words(text), lambda x: F.lower(F.regexp_replace(x, "^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", "")))
-    w = F.filter(w, lambda x: x != "")
-    n = F.size(w)
-    return F.when(n < 4, False).otherwise(F.exists(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: (F.get(w, i - 1) == F.get(w, i)) & (F.get(w, i) == F.get(w, i + 1)) & (F.get(w, i + 1) == F.get(w, i + 2))))
+    """Whether the same word stands four times in a row, ASCII case and punctuation around it aside.
+
+    One fold over the words: a lambda that indexed the array would compute all of it for every word.
+    """
+    bare = lambda x: F.lower(F.regexp_replace(x, "^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", ""))
+    w = F.filter(F.transform(words(text), bare), lambda x: x != "")
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc, x):
+        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(w, start, step, lambda acc: acc["most"] >= 4)
