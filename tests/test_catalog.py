@@ -25,7 +25,7 @@ def rows(frame, columns):
     return sorted(map(repr, frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, sql, name):
     got, want = catalog.QUERIES[name](spark, DATA).toPandas(), sql.sql(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
