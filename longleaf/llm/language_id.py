@@ -4,8 +4,9 @@ One model of order ORDER per language is estimated from character n-grams that s
 word, with its boundaries. All models lie together in sorted arrays of 64-bit n-gram hashes,
 with one row of log probabilities (a column for each language) beside each hash. A text goes
 to the language of lowest cross-entropy per character. A temperature fitted on labelled rows
-that the counts left out turns entropies into a score, and a limit on the entropy, found on
-the same rows, rejects texts that no model explains.
+that the counts left out turns entropies into a score. A limit on the entropy, by language and
+length, rejects texts that no model explains; it is a quantile over all labelled rows outside the
+counted ones, from a histogram, so every text is scored once and compared afterwards.
 
 Defined cases: a null, empty or letterless text is `und` with score 0 and not accepted; ties go
 to the language that sorts first; rows that repeat get the same answer each; with no labelled
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -29,11 +30,14 @@ from . import common as C
 ORDER = 4
 #: Labelled rows of a language that a fit reads, as expected by a threshold on the id's hash.
 FIT_ROWS = 600
-#: Of these, the share that calibrates score and rejection instead of being counted.
+#: Of these, the share that calibrates the score instead of being counted.
 CALIBRATE = 0.25
-#: A text is rejected beyond this multiple of the largest entropy among rightly placed calibration rows,
+#: A text is rejected beyond this multiple of the QUANTILE of entropies among rightly placed rows of its length,
 #: with 3 / sqrt(letters) more for chance: a strange script lies far beyond it, odd words and short texts don't.
 REJECT = 1.6
+QUANTILE = 0.99
+#: Lengths are told apart by powers of two, entropies by BINS a nat.
+LENGTHS, BINS = 32, 100
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15
 _MEMO, _LONG = 150_000, 64
@@ -70,7 +74,7 @@ class Model:
     back: list[np.ndarray]  # log weight that a context leaves to the lower order
     floor: np.ndarray  # log probability of a letter that a language has never seen
     temperature: float = 1.0
-    limit: np.ndarray | None = None
+    limit: np.ndarray | None = None  # by language and length
 
     def words(self, words: list[str]) -> np.ndarray:
         """For each word, its log probability in each language, closing boundary included."""
@@ -101,7 +105,7 @@ class Model:
     def answers(self, texts: Iterator[str | None], memo: Memo) -> pd.DataFrame:
         texts = list(texts)
         if not self.langs:
-            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "entropy": 0.0, "accepted": False})
+            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "entropy": 0.0, "accepted": False, "letters": 0})
         ce, n = self.entropies(texts, memo)
         if not len(texts):
             ce = np.zeros((0, len(self.langs)))
@@ -109,13 +113,18 @@ class Model:
         rows = np.arange(len(best))
         share = np.exp(-self.temperature * (ce - ce[rows, best][:, None])).sum(1)
         some = n > 0
-        fits = some if self.limit is None else some & (ce[rows, best] <= self.limit[best] + 3 / np.sqrt(np.maximum(n, 1)))
+        fits = some if self.limit is None else some & (ce[rows, best] <= self.limit[best, lengths(n)] + 3 / np.sqrt(np.maximum(n, 1)))
         return pd.DataFrame({
             "lang_pred": np.where(some, np.array(self.langs, dtype=object)[best], "und"),
-            "score": np.where(some, 1 / share, 0.0), "entropy": np.where(some, ce[rows, best], 0.0), "accepted": fits,
+            "score": np.where(some, 1 / share, 0.0), "entropy": np.where(some, ce[rows, best], 0.0), "accepted": fits, "letters": n.astype(np.int64),
         })
 
 
+def lengths(letters: np.ndarray) -> np.ndarray:
+    """The power of two at or below each number of letters."""
+    return np.clip(np.frexp(letters)[1] - 1, 0, LENGTHS - 1)
+
+
 def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(sorted_keys, wanted), max(len(sorted_keys) - 1, 0))
     return at, (sorted_keys[at] == wanted if len(sorted_keys) else np.zeros(len(wanted), bool))
@@ -222,23 +231,24 @@ def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Models of the languages in labelled (doc_id, text, lang); about `rows` rows of each are read.
+def learn(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[Model, Column]:
+    """Models, without limits, of the languages in labelled (doc_id, text, lang), and whether a row is among the counted ones.
 
-    The driver gets one number a language and the n-grams of those rows, never more.
+    About `rows` rows of each language are read. The driver gets one number a language and the n-grams of those rows, never more.
     """
     C.check_columns(labelled, "doc_id", "text", "lang")
     labelled = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], [], [], [], [], np.zeros(0))
+        return Model([], [], [], [], [], np.zeros(0)), F.lit(False)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))])[F.col("lang")]
     place = C.hash01(F.col("doc_id")) / share
-    chosen = labelled.filter(place < 1).withColumn("late", place >= 1 - CALIBRATE)
+    counted = place < 1 - CALIBRATE
+    chosen = labelled.filter(place < 1).withColumn("late", ~counted)
     counts = chosen.filter("not late").select("lang", "text").mapInPandas(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     model = build(counts) if len(counts) else Model([], [], [], [], [], np.zeros(0))
     if not model.langs:
-        return model
+        return model, counted
 
     def entropies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(model)
@@ -253,17 +263,49 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
         own = held.lang.map({x: i for i, x in enumerate(model.langs)}).to_numpy()
         gap = ce - ce[np.arange(len(ce)), own][:, None]
         model.temperature = float(min((2.0**k for k in range(8)), key=lambda t: np.log(np.exp(-t * gap).sum(1)).mean()))
-        best = ce.min(1)
-        right = ce.argmin(1) == own
-        model.limit = np.array([REJECT * (best[right & (own == i)].max() if (right & (own == i)).any() else best.max()) for i in range(len(model.langs))])
+    return model, counted
+
+
+def limits(langs: list[str], placed: DataFrame) -> np.ndarray:
+    """The limit for each language and length, from all of placed (lang, found), which are labelled rows outside the counted ones.
+
+    Rows whose own language wins go into a histogram, which partitions add up; the driver gets its cells. A quantile is
+    read at the upper edge of its cell. A shorter text may always have what a longer one may, and beyond the longest
+    rows their limit holds; a language that no row has takes those of all languages together.
+    """
+    right = placed.filter((F.col("found.lang_pred") == F.col("lang")) & (F.col("found.letters") > 0))
+    cell = F.floor(F.col("found.entropy") * BINS).cast("int").alias("cell")
+    cells = right.groupBy("lang", length().alias("length"), cell).agg(F.count("*").alias("n")).collect()
+    if not cells:
+        return np.full((len(langs), LENGTHS), np.inf)
+    own = {x: np.zeros((LENGTHS, max(r.cell for r in cells) + 1), np.int64) for x in langs}
+    for r in cells:
+        own[r.lang][r.length, r.cell] += r.n
+    every = sum(own.values())
+    out = np.empty((len(langs), LENGTHS))
+    for i, x in enumerate(langs):
+        upto = (own[x] if own[x].any() else every).cumsum(1)
+        edge = ((upto >= QUANTILE * upto[:, -1:]).argmax(1) + 1) / BINS
+        edge[upto[:, -1] == 0] = 0
+        edge = np.maximum.accumulate(edge[::-1])[::-1]
+        out[i] = REJECT * np.where(edge > 0, edge, edge[edge > 0][-1])
+    return out
+
+
+def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Models and limits of the languages in labelled (doc_id, text, lang); the limits are of all its rows."""
+    model, counted = learn(labelled, rows)
+    if model.langs:
+        rest = labelled.filter("lang is not null and text is not null").filter(~counted)
+        model.limit = limits(model.langs, rest.select("lang", identify(model)("text").alias("found")))
     return model
 
 
-KIND = "lang_pred string, score double, entropy double, accepted boolean"
+KIND = "lang_pred string, score double, entropy double, accepted boolean, letters long"
 
 
 def identify(model: Model):
-    """A column function: text to (lang_pred, score, entropy, accepted)."""
+    """A column function: text to (lang_pred, score, entropy, accepted, letters)."""
 
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = Memo(model)
@@ -278,15 +320,37 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.filter(C.fold("doc_id", 5) != 0)
 
 
+def length() -> Column:
+    """What `lengths` gives, of found.letters."""
+    return F.least(F.length(F.bin("found.letters")) - 1, F.lit(LENGTHS - 1))
+
+
+def accepted(langs: list[str], limit: np.ndarray) -> Column:
+    """What `answers` accepts by these limits, of found."""
+    of = F.create_map(*[y for x, row in zip(langs, limit, strict=True) for y in (F.lit(x), F.array(*map(F.lit, row.tolist())))])
+    return (F.col("found.letters") > 0) & (F.col("found.entropy") <= of[F.col("found.lang_pred")][length()] + 3 / F.sqrt(F.greatest("found.letters", F.lit(1))))
+
+
+def placed(spark, docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns of docs, found and accepted: every text is scored once and kept, and the limits come from what was kept."""
+    model, counted = learn(training_rows(docs))
+    trains = F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.fold("doc_id", 5) != 0)
+    tells = F.when(trains & ~counted, F.col("lang"))
+    kept = C.Scratch(spark).keep(docs.select(F.struct(*columns).alias("row"), tells.alias("lang"), identify(model)("text").alias("found")))
+    if not model.langs:
+        return kept.select("row", "found", F.lit(False).alias("accepted"))
+    limit = limits(model.langs, kept.filter("lang is not null"))
+    return kept.select("row", "found", accepted(model.langs, limit).alias("accepted"))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     """The language of every document, by models learnt outside the held-out fifth."""
     docs = C.table(spark, sf_dir, "documents")
-    found = identify(fit(training_rows(docs)))
     held = C.fold("doc_id", 5) == 0
-    return docs.select("doc_id", held.alias("held_out"), found("text").alias("found")).select("doc_id", "held_out", "found.*")
+    rows = placed(spark, docs, "doc_id").withColumn("doc_id", F.col("row.doc_id"))
+    return rows.select("doc_id", held.alias("held_out"), "found.lang_pred", "found.score", "found.entropy", "accepted")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language some model explains, with all their columns."""
-    found = identify(fit(training_rows(docs)))
-    return docs.filter(found("text")["accepted"])
+    return placed(spark, docs, *docs.columns).filter("accepted").select("row.*")

@@ -72,3 +72,28 @@ def test_query_shape_and_stage(spark):
     assert none.answers(["abc"], L.Memo(none)).lang_pred.tolist() == ["und"]
     found = L.identify(none)
     assert spark.createDataFrame([], KIND).select(found("text")).count() == 0
+
+
+def test_limits_come_from_all_labelled_rows(spark):
+    """Short clean texts with a token or numbers stay, though the calibration sample has none; an unlearnt language goes."""
+    from pyspark.sql import functions as F
+
+    token = "hund schlief token = b64b244acde2e3b0aa8f051af1ec018ebaba3add 7844"
+    plain = [(i, " ".join(np.random.default_rng(i).permutation((EN if i % 2 else DE).split())), "en" if i % 2 else "de", "x", 1) for i in range(4000)]
+    sampled = {r.doc_id for r in spark.createDataFrame(plain, KIND).filter(L.C.hash01(F.col("doc_id")) < 0.4).collect()}
+    odd = [i for i in range(0, 4000, 2) if i not in sampled][:40]
+    docs = [r if r[0] not in odd else (r[0], token, "de", "x", 1) for r in plain]
+    other = "zxqwv kjyqx wqzzk xvvjq qyxkw jjqxz vwxyk qqzjx kxwvq yzqjv " * 8
+    docs += [(9000, other, None, "x", 1), (9001, "中文字符" * 20, None, "x", 1), (9002, "katze regnete " + token[13:], None, "x", 1)]
+    frame = spark.createDataFrame(docs, KIND)
+    kept = {r.doc_id for r in L.stage(spark, frame, "").collect()}
+    assert set(odd) <= kept and 9002 in kept and not {9000, 9001} & kept
+
+
+def test_limits_of_columns_and_arrays_agree(spark):
+    m = model(spark)
+    texts = [EN, DE, None, "", "7", "a", "ab", "abc", "the cat", EN[:15], EN[:16], "x" * 300, "qzx jkv wqy"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(L.identify(m)("text").alias("found"))
+    got = [r.a for r in frame.select("found", L.accepted(m.langs, m.limit).alias("a")).collect()]
+    want = m.answers(texts, L.Memo(m)).accepted.tolist()
+    assert [bool(x) for x in got] == want and 0 < sum(want) < len(want)
