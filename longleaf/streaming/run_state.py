@@ -34,16 +34,37 @@ def states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _status(spark: SparkSession, path: str):
+    files, at = _at(spark, path)
+    return files.getFileStatus(at)
+
+
+def _folder(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.mkdirs(at)
+
+
 def run_state(spark: SparkSession, d: str, name: str = "events", files_at_once: int = 1000) -> DataFrame:
     """The last state of every job after all of a log that is there now.
 
     Each micro-batch writes a folder of its own, which a batch that runs again overwrites, so a lost
-    executor or a restart leaves no state twice.
+    executor or a restart leaves no state twice. The table is one file or a folder of part files; without
+    any batch there are no states.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="longleaf-stream-")
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    log = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_at_once).parquet(d)
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once)
+    if _status(spark, f"{d}/{name}.parquet").isDirectory():
+        log = log.parquet(f"{d}/{name}.parquet")
+    else:  # a stream lists folders only
+        log = log.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    _folder(spark, f"{base}/out")
     rows = states(log.filter("user_id is not null and event_id is not null").select("user_id", "event_id", "event_type"))
     sink = lambda frame, batch: frame.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
     rows.writeStream.outputMode("update").option("checkpointLocation", f"{base}/at").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
