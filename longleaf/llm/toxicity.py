@@ -180,7 +180,7 @@ def context(tokens: list[str], at: int) -> float:
 
 def evidence(weights: list[float]) -> float:
     """The strongest hit, and the rest with less and less weight."""
-    return sum(w / (1 + k) for k, w in enumerate(sorted(weights, reverse=True)[:50]))
+    return float(np.sort(weights)[::-1] @ (1 / np.arange(1, len(weights) + 1))) if weights else 0.0
 
 
 def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

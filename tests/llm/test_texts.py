@@ -158,3 +158,8 @@ def test_likelihood_gradient():
             down = H.likelihood(w, m, x, y, real)[0]
             p[i] += 1e-5
             assert abs((up - down) / 2e-5 - g[i]) < 1e-4
+
+
+def test_toxicity_counts_every_hit():
+    assert abs(X.evidence([1.0] * 200) - sum(1 / k for k in range(1, 201))) < 1e-9
+    assert abs(X.evidence([1.0, 3.0, 2.0]) - (3 + 2 / 2 + 1 / 3)) < 1e-12 and X.evidence([]) == 0
