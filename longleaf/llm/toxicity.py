@@ -34,10 +34,9 @@ from . import common as C
 FIT_TOXIC, FIT_CLEAN = 6_000, 12_000
 #: A term lies in so many toxic texts at least, at so many times the rate of clean ones.
 LEAST_SEEN, LEAST_RATIO = 3, 8.0
-#: Toxic texts from which a term is certain enough to be looked for misspelt.
-FUZZY_SEEN = 12
-#: Letters from which a term may be misspelt, and by how much.
-FUZZY_LENGTH, DISTANCE = 5, 1
+#: Edits that a misspelt term may have, by its letters: none below SHORT, DISTANCE from there, one more from LONG.
+#: Neighbours that swap places are one edit. Each edit leaves FUZZY_WEIGHT of a term's weight.
+SHORT, LONG, DISTANCE = 3, 9, 1
 FUZZY_WEIGHT = 0.5
 WINDOW = 6
 QUOTED, ADDRESSED = 0.4, 1.25
@@ -84,6 +83,35 @@ class Automaton:
         return state[-1] if state[-1] <= self.limit else None
 
 
+class Swapping(Automaton):
+    """The same with neighbours that swap places as one edit: states also hold the row before and the last letter."""
+
+    def start(self) -> tuple:
+        return super().start(), None, ""
+
+    def step(self, state: tuple, letter: str) -> tuple:
+        row, before, last = state
+        after = list(super().step(row, letter))
+        if before is not None:
+            for i in range(1, len(self.word)):
+                if self.word[i] == last and self.word[i - 1] == letter:
+                    after[i + 1] = min(after[i + 1], before[i - 1] + 1)
+                    for j in range(i + 1, len(self.word)):
+                        after[j + 1] = min(after[j + 1], after[j] + 1)
+        return tuple(after), row, letter
+
+    def alive(self, state: tuple) -> bool:
+        return min(state[0]) <= self.limit or (state[1] is not None and min(state[1]) < self.limit)
+
+    def accepts(self, state: tuple) -> int | None:
+        return super().accepts(state[0])
+
+
+def reach(term: str) -> int:
+    """Edits that a misspelt term may have."""
+    return 0 if len(term) < SHORT else DISTANCE + (len(term) >= LONG)
+
+
 class Trie:
     def __init__(self, words=()):
         self.root: dict = {}
@@ -113,7 +141,6 @@ class Trie:
 @dataclass
 class Lexicon:
     weight: dict[str, float] = field(default_factory=dict)
-    fuzzy: frozenset = frozenset()  # terms that are looked for misspelt
     innocent: frozenset = frozenset()  # words near a term that clean texts use
     slope: float = 1.0
     offset: float = -4.0
@@ -127,16 +154,19 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        long = [w for w in lexicon.fuzzy if len(w) >= FUZZY_LENGTH]
-        self.trie, self.variants = Trie(long), {v for w in long for v in deletions(w)}
+        self.by = []  # by edits: trie, variants and least letters of a misspelt term
+        for d in sorted({reach(w) for w in lexicon.weight} - {0}):
+            terms = [w for w in lexicon.weight if reach(w) == d]
+            self.by.append((d, Trie(terms), {v for w in terms for v in deletions(w, d)}, min(map(len, terms)) - d))
         self.memo: dict[str, float] = {}
 
     def near(self, word: str) -> tuple[int, str] | None:
-        if len(word) < FUZZY_LENGTH - DISTANCE or len(word) > _LONG or word in self.lexicon.innocent:
-            return None
-        if not any(v in self.variants for v in deletions(word)):
+        if len(word) > _LONG or word in self.lexicon.innocent:
             return None
-        found = self.trie.within(Automaton(word))
+        found = []
+        for d, trie, variants, least in self.by:
+            if len(word) >= least and not variants.isdisjoint(deletions(word, d)):
+                found += trie.within(Swapping(word, d))
         return min(found, key=lambda x: (x[0], -self.lexicon.weight[x[1]], x[1])) if found else None
 
     def weigh(self, token: str) -> float:
@@ -144,7 +174,7 @@ class Matcher:
         weight = self.lexicon.weight.get(word)
         if weight is None:
             near = self.near(word)
-            weight = FUZZY_WEIGHT * self.lexicon.weight[near[1]] if near else 0.0
+            weight = FUZZY_WEIGHT ** near[0] * self.lexicon.weight[near[1]] if near else 0.0
         if len(token) <= _LONG:
             if len(self.memo) > _MEMO:
                 self.memo.clear()
@@ -232,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         p, n = plus[w] - less_bad, minus[w] - less_good
         return math.log((p + 0.5) / (bad + 1)) - math.log((n + 0.5) / (good + 1)) if p >= LEAST_SEEN else 0.0
 
-    lexicon = Lexicon({w: weight(w) for w in plus}, frozenset(w for w, n in plus.items() if n >= FUZZY_SEEN))
+    lexicon = Lexicon({w: weight(w) for w in plus})
 
     def near_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = lexicon.matcher()

@@ -163,3 +163,26 @@ def test_likelihood_gradient():
 def test_toxicity_counts_every_hit():
     assert abs(X.evidence([1.0] * 200) - sum(1 / k for k in range(1, 201))) < 1e-9
     assert abs(X.evidence([1.0, 3.0, 2.0]) - (3 + 2 / 2 + 1 / 3)) < 1e-12 and X.evidence([]) == 0
+
+
+def swapped(a, b):
+    """Optimal string alignment by its definition."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 < j and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_every_term_is_looked_for_misspelt():
+    rnd = random.Random(8)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 8))) for _ in range(80)}
+    trie = X.Trie(words)
+    for n in range(200):
+        w, k = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 8))), 1 + n % 2
+        want = sorted((swapped(w, x), x) for x in words if swapped(w, x) <= k)
+        assert trie.within(X.Swapping(w, k)) == want and all(X.deletions(w, k) & X.deletions(x, k) for _, x in want)
+    m = X.Lexicon({"scum": 2.0, "idiot": 2.0, "scoundrels": 2.0, "ass": 2.0}, innocent=frozenset(["scam"])).matcher()
+    assert [m.weigh(w) for w in ("scum", "scumm", "idoit", "scuondrel", "as", "scam", "idiotic")] == [2.0, 1.0, 1.0, 0.5, 1.0, 0, 0]
