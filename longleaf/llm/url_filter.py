@@ -15,6 +15,7 @@ that repeat are judged alike; without labelled rows there are no mined rules; ot
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,8 +30,6 @@ from . import common as C
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DEFAULT = "allow"
 FIT_ROWS = 100_000
-#: Labelled URLs of more tokens are left out of the fit, as itemsets grow with the power of their number.
-FIT_TOKENS = 16
 SUPPORT, CONFIDENCE = 0.005, 0.8
 #: Mined rules that are sent to the tasks at most; more than that is an error, not a cut.
 MOST_RULES = 100_000
@@ -88,7 +87,8 @@ def mine(labelled: DataFrame, rows: int = FIT_ROWS, support: float = SUPPORT, co
     if not n:
         return []
     chosen = labelled.filter(C.hash01(F.struct("id", "url")) < min(1.0, rows / n))
-    items = chosen.select(F.concat(token_column(F.col("url")), F.array(F.concat(F.lit("="), "verdict"))).alias("items")).filter(F.size("items").between(2, FIT_TOKENS + 1))
+    items = chosen.select(F.concat(token_column(F.col("url")), F.array(F.concat(F.lit("="), "verdict"))).alias("items")).filter(F.size("items") > 1)
+    items = frequent(C.Scratch(labelled.sparkSession).keep(items), support)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     found = model.associationRules.filter("size(consequent) = 1 and startswith(consequent[0], '=')").select("antecedent", F.substring(F.col("consequent")[0], 2, 1000).alias("verdict"), "confidence", "support")
     found = found.limit(MOST_RULES + 1).collect()
@@ -97,6 +97,13 @@ def mine(labelled: DataFrame, rows: int = FIT_ROWS, support: float = SUPPORT, co
     return prune([(frozenset(r.antecedent), r.verdict, r.confidence, r.support) for r in found])
 
 
+def frequent(items: DataFrame, support: float) -> DataFrame:
+    """The same rows without tokens below the support, which no frequent set holds."""
+    least = max(1, math.ceil(support * items.count()))
+    common = [r.t for r in items.select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= least).collect()]
+    return items.select(F.array_intersect("items", F.lit(common) if common else F.array().cast("array<string>")).alias("items"))
+
+
 def prune(found: list[tuple[frozenset, str, float, float]]) -> list[tuple[frozenset, str, float, float]]:
     """Without rules that a rule of fewer tokens makes redundant; best first."""
     confidence = {(a, v): c for a, v, c, _ in found}

@@ -186,3 +186,9 @@ def test_every_term_is_looked_for_misspelt():
         assert trie.within(X.Swapping(w, k)) == want and all(X.deletions(w, k) & X.deletions(x, k) for _, x in want)
     m = X.Lexicon({"scum": 2.0, "idiot": 2.0, "scoundrels": 2.0, "ass": 2.0}, innocent=frozenset(["scam"])).matcher()
     assert [m.weigh(w) for w in ("scum", "scumm", "idoit", "scuondrel", "as", "scam", "idiotic")] == [2.0, 1.0, 1.0, 0.5, 1.0, 0, 0]
+
+
+def test_long_urls_are_mined(spark):
+    rows = [(i, f"http://{'good' if i % 2 else 'bad'}.example.net/" + "/".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(25)), "allow" if i % 2 else "block") for i in range(400)]
+    rules = U.mine(spark.createDataFrame(rows, "id long, url string, verdict string"))
+    assert {(frozenset(["host:bad"]), "block"), (frozenset(["host:good"]), "allow")} <= {r[:2] for r in rules}
