@@ -34,7 +34,7 @@ BLOCKS = frozenset(
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is never text of the page.
-SKIPPED = frozenset("script style noscript template title svg math iframe object video audio canvas select textarea datalist noembed noframes".split())
+SKIPPED = frozenset("script style template title iframe select textarea datalist noembed noframes".split())
 #: What the begin of an element closes, if it is the nearest of these.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -106,6 +106,16 @@ def blocks(page: str | None) -> list[Block]:
             links -= tag == "a"
         del stack[at:]
 
+    def parent_end(at: int) -> int:
+        """Where the nearest open element with an end ends."""
+        for tag, *_ in reversed(stack):
+            if ("/", tag) not in endless:
+                if end := re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at):
+                    return end.start()
+                endless.add(("/", tag))
+        return len(page)
+
+    endless: set = set()  # names of which no end follows
     page, at = page or "", 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -137,8 +147,10 @@ def blocks(page: str | None) -> list[Block]:
             cut()
         if name in SKIPPED:
             if not attributes.endswith("/"):
-                end = _END[name].search(page, at)
-                at = end.end() if end else len(page)
+                end = None if name in endless else _END[name].search(page, at)
+                at = end.end() if end else parent_end(at)
+                if not end:
+                    endless.add(name)
             continue
         if name in VOID:
             continue

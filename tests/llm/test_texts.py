@@ -192,3 +192,10 @@ def test_long_urls_are_mined(spark):
     rows = [(i, f"http://{'good' if i % 2 else 'bad'}.example.net/" + "/".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(25)), "allow" if i % 2 else "block") for i in range(400)]
     rules = U.mine(spark.createDataFrame(rows, "id long, url string, verdict string"))
     assert {(frozenset(["host:bad"]), "block"), (frozenset(["host:good"]), "allow")} <= {r[:2] for r in rules}
+
+
+def test_only_raw_text_is_skipped():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    assert text("<p>area <math><mi>x</mi> = 2</math> of <object>a <b>plan</b></object></p><noscript><p>shown</p></noscript>") == ["area x = 2 of a plan", "shown"]
+    assert text("<p>a<video src=v>no video</p><p>b</p><script>x = 1</script><p>c</p>") == ["ano video", "b", "c"]
+    assert text("<div><p>a</p><select><option>x</div><p>b</p>") == ["a", "b"] and text("<p>a</p><script>x") == ["a"]
