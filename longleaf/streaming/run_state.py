@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,24 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "started long, done long, failed long, last_event long"
-OUT = f"user_id long, {STATE}"
+from longleaf.session import shared_dir
+
+STATE = "started long, done long, failed long, last_event long, begun long"
+OUT = "user_id long, started long, done long, failed long, last_event long"
 
 
 def states(events: DataFrame) -> DataFrame:
-    """(user_id, started, done, failed, last_event) whenever a job has new events, which come in the order of their ids."""
+    """(user_id, started, done, failed, last_event) whenever a job has new events.
+
+    Within a batch the order of events doesn't matter. Over batches a run begins with the largest id of a signup; what
+    comes late with a lower id belongs to a run before and counts for nothing.
+    """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """A job's new events over its state: a signup begins a new run, whose counts start again."""
-        started, done, failed, last = state.get if state.exists else (0, 0, 0, -1)
-        events = pd.concat(list(frames)).sort_values("event_id")
-        begins = events.loc[events["event_type"] == "signup", "event_id"]
-        if len(begins):
-            started, done, failed = 1, 0, 0
-            events = events[events["event_id"] >= begins.max()]
-        done, failed = done + int((events["event_type"] == "purchase").sum()), failed + int((events["event_type"] == "error").sum())
-        last = max(last, int(events["event_id"].max()))
-        state.update((started, done, failed, last))
+        """A job's new events over its state: a signup begins a new run, whose counts start again. Only ids are held."""
+        started, done, failed, last, begun = state.get if state.exists else (0, 0, 0, -1, 0)
+        new, seen = begun - 1, {"purchase": [], "error": []}
+        for f in frames:
+            last = max(last, int(f["event_id"].max()))
+            starts = f.loc[f["event_type"] == "signup", "event_id"]
+            new = max(new, int(starts.max())) if len(starts) else new
+            for kind, ids in seen.items():
+                ids.append(f.loc[(f["event_type"] == kind) & (f["event_id"] >= max(begun, new)), "event_id"].to_numpy())
+        if new >= begun and new >= 0:
+            started, done, failed, begun = 1, 0, 0, new
+        n = {kind: sum(int((x >= begun).sum()) for x in ids) for kind, ids in seen.items()}
+        done, failed = done + n["purchase"], failed + n["error"]
+        state.update((started, done, failed, last, begun))
         yield pd.DataFrame({"user_id": [key[0]], "started": [started], "done": [done], "failed": [failed], "last_event": [last]})
 
     return events.groupBy("user_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
@@ -56,8 +65,7 @@ def run_state(spark: SparkSession, d: str, name: str = "events", files_at_once:
     executor or a restart leaves no state twice. The table is one file or a folder of part files; without
     any batch there are no states.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="longleaf-stream-")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once)
     if _status(spark, f"{d}/{name}.parquet").isDirectory():

@@ -29,3 +29,17 @@ def test_run_state_of_both_layouts(spark, tmp_path, layout):
 def test_run_state_of_no_events(spark, tmp_path):
     rows(spark).filter("false").write.parquet(str(tmp_path / "events.parquet"))
     assert got(spark, tmp_path, "stream_run_state") == []
+
+
+def test_late_events_belong_to_an_older_run(spark, tmp_path):
+    import time
+
+    at = tmp_path / "events.parquet"
+    at.mkdir()
+    batches = [[(10, 1, "signup"), (11, 1, "purchase")], [(5, 1, "signup"), (6, 1, "purchase"), (12, 1, "error")], [(13, 1, "signup"), (14, 1, "purchase"), (7, 1, "error")]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame([(*e, None, 1.0, None) for e in batch], KIND).toPandas().to_parquet(at / f"part-{k}.parquet", index=False, coerce_timestamps="us")
+        time.sleep(1.1)  # files come in the order of their times
+    from longleaf.streaming.run_state import run_state
+
+    assert [tuple(r) for r in run_state(spark, str(tmp_path), files_at_once=1).collect()] == [(1, 1, 1, 0, 14)]
