@@ -9,7 +9,8 @@ by rule: layouts with menus, headers, footers, sidebars, notices, adverts, forms
 Defined cases: a null or empty page, and one without content, has empty text; unclosed, misnested and
 unknown tags are read as far as they go; text outside any element is a block of the body; character references
 are decoded; each run of white space in a block is one space; blocks are joined by one space in page order;
-rows that repeat get the same text; other columns aren't read.
+rows that repeat get the same text; an empty table gives an empty result; other columns, `text` and `n_chars`
+among them, aren't read. Time and memory grow with a page's length alone, however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -52,159 +53,223 @@ WORDS = {
     "main": "content article post entry story main body text articlebody maincontent page-content prose",
 }
 _WORD = {w: k for k, v in WORDS.items() for w in v.split()}
+#: An attribute: its name and a quoted or unquoted value. A quote inside an unquoted value is a character like others.
+_NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in SKIPPED}
 
 
-class Block:
-    __slots__ = ("above", "label", "linked", "text")
+#: What a reader remembers at most between pages.
+_MEMO = 1 << 14
+#: Elements that a search for an open paragraph doesn't leave.
+SCOPES = frozenset("button caption html object table td th".split())
+_SHOWN = frozenset("article main nav header footer aside form section ul ol table td li p blockquote figure figcaption button label details dialog dl pre fieldset address menu search a".split())
+_INNER = frozenset("nav header footer aside form section button ul".split())
+_APART = frozenset("nav header footer aside form button menu search dialog".split())
 
-    def __init__(self, text: str, above: tuple, linked: int, label: str | None):
-        self.text, self.above, self.linked, self.label = text, above, linked, label
 
+class Place:
+    """What the elements above a block say together, shared by all that lie in the same ones."""
 
-@lru_cache(1 << 14)
-def kinds(attributes: str) -> tuple[frozenset, str | None]:
-    """What the class, id and role words say, and a training label."""
-    out, label = set(), None
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
-        if name.lower() == "data-y":
-            label = value
+    __slots__ = ("features", "inner", "leaf", "said", "tags")
+
+    def __init__(self, tags: frozenset = frozenset(), said: frozenset = frozenset(), leaf: str = "none", inner: tuple = (None, None)):
+        self.tags, self.said, self.leaf, self.inner = tags, said, leaf, inner
+        out = {f"in:{t}" for t in tags if t in _SHOWN} | {f"is:{x}" for x in said}
+        out.add(f"leaf:{'h' if leaf in HEADINGS else leaf if leaf in _SHOWN else 'box'}")
+        for t, found in zip(("article", "main"), inner, strict=True):  # what the text lies in inside of an article
+            if found is not None:
+                out |= {f"{t}>{x}" for x in found}
+                break
         else:
-            out |= {_WORD[t] for t in _TOKEN.findall(_CAMEL.sub(" ", value).lower()) if t in _WORD}
-    return frozenset(out), label
-
-
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset, str | None]] = []
-    text: list[str] = []
-    linked = links = 0
-
-    def cut() -> None:
-        nonlocal linked
-        if text:
-            clean = " ".join(html.unescape("".join(text)).split())
-            if clean:
-                label = next((y for *_, y in reversed(stack) if y), None)
-                out.append(Block(clean, tuple((t, k) for t, k, _ in stack), linked, label))
-            text.clear()
-        linked = 0
-
-    def close(at: int) -> None:
-        nonlocal links
-        for tag, *_ in stack[at:]:
-            links -= tag == "a"
-        del stack[at:]
-
-    def parent_end(at: int) -> int:
-        """Where the nearest open element with an end ends."""
-        for tag, *_ in reversed(stack):
-            if ("/", tag) not in endless:
-                if end := re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at):
-                    return end.start()
-                endless.add(("/", tag))
-        return len(page)
-
-    endless: set = set()  # names of which no end follows
-    page, at = page or "", 0
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if not m:
-            text.append(page[at:])
-            linked += (len(page) - at) * (links > 0)
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3])
-            continue
-        name, attributes = name.lower(), (m[3] or m[6] or "")
-        if m[1] or m[4]:
-            if name in BLOCKS:
-                cut()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if name not in BLOCKS and stack[i][0] in BLOCKS:
-                    break
-            continue
-        if name in BLOCKS:
-            cut()
-        if name in SKIPPED:
-            if not attributes.endswith("/"):
-                end = None if name in endless else _END[name].search(page, at)
-                at = end.end() if end else parent_end(at)
-                if not end:
-                    endless.add(name)
-            continue
-        if name in VOID:
-            continue
-        if name in BLOCKS:
-            over, within = CLOSES.get(name, (set(), set()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in over:
-                    close(i)
-                    break
-                if stack[i][0] in within:
-                    break
-            if name != "button" and any(t == "p" for t, *_ in stack[-6:]):
-                close(max(i for i, s in enumerate(stack) if s[0] == "p"))
-            if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
-                close(len(stack) - 1)
-        k, label = kinds(attributes) if attributes else (frozenset(), None)
-        stack.append((name, k, label))
-        links += name == "a"
-    cut()
-    return out
+            out.add("no article")
+            if not said and not _APART & tags:
+                out.add("plain")
+        self.features = tuple(sorted(out))
 
+    def below(self, tag: str, kinds: frozenset) -> Place:
+        """The place inside one more element."""
+        more = frozenset([tag] if tag in _INNER else ()) | {f"is:{x}" for x in kinds}
+        inner = tuple(found | more if found is not None else frozenset() if tag == t else None for t, found in zip(("article", "main"), self.inner, strict=True))
+        return Place(self.tags | {tag}, self.said | kinds, tag if tag in BLOCKS else self.leaf, inner)
 
-_SHOWN = frozenset("article main nav header footer aside form section ul ol table td li p blockquote figure figcaption button label details dialog dl pre fieldset address menu search a".split())
 
+class Block:
+    __slots__ = ("label", "linked", "place", "text")
 
-@lru_cache(1 << 14)
-def above_features(above: tuple) -> tuple[str, ...]:
-    tags = [t for t, _ in above]
-    out = {f"in:{t}" for t in tags if t in _SHOWN}
-    said = [(i, x) for i, (_, k) in enumerate(above) for x in k]
-    out |= {f"is:{x}" for _, x in said}
-    leaf = next((t for t in reversed(tags) if t in BLOCKS), "none")
-    out.add(f"leaf:{'h' if leaf in HEADINGS else leaf if leaf in _SHOWN else 'box'}")
-    for t in ("article", "main"):  # what the text lies in inside of an article
-        if t in tags:
-            inner = above[tags.index(t) + 1 :]
-            out |= {f"{t}>{x}" for x, _ in inner if x in ("nav", "header", "footer", "aside", "form", "section", "button", "ul")}
-            out |= {f"{t}>is:{x}" for _, k in inner for x in k}
-            break
-    else:
-        out.add("no article")
-        if not said and not {"nav", "header", "footer", "aside", "form", "button", "menu", "search", "dialog"} & out_tags(tags):
-            out.add("plain")
-    return tuple(sorted(out))
+    def __init__(self, text: str, place: Place, linked: int, label: str | None):
+        self.text, self.place, self.linked, self.label = text, place, linked, label
 
 
-def out_tags(tags: list[str]) -> set[str]:
-    return set(tags)
+class Stack:
+    """Open elements. The last of each name, and of the blocks, is known without a search."""
+
+    def __init__(self, root: Place):
+        self.names: list[str] = []
+        self.places, self.labels, self.scopes = [root], [None], [-1]  # the last of these: of the innermost element
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = 0
+
+    def push(self, name: str, place: Place, label: str | None) -> None:
+        here = len(self.names)
+        self.names.append(name)
+        self.places.append(place)
+        self.labels.append(label or self.labels[-1])
+        self.scopes.append(here if name == "p" else -1 if name in SCOPES else self.scopes[-1])
+        self.at.setdefault(name, []).append(here)
+        if name in BLOCKS:
+            self.blocks.append(here)
+        self.links += name == "a"
+
+    def last(self, names) -> int:
+        """Where the innermost open element of these names is, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.names) > at:
+            name = self.names.pop()
+            self.at[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            self.links -= name == "a"
+            self.places.pop()
+            self.labels.pop()
+            self.scopes.pop()
+
+
+class Reader:
+    """Turns pages into leaf blocks and remembers what attributes and places say."""
+
+    def __init__(self):
+        self.root = Place()
+        self.known: dict[str, tuple[frozenset, str | None]] = {}
+        self.under: dict[tuple, Place] = {}
+
+    def kinds(self, attributes: str) -> tuple[frozenset, str | None]:
+        """What the class, id and role words say, and a training label; of an attribute that repeats, the first counts."""
+        found = self.known.get(attributes)
+        if found is None:
+            out, label, seen = set(), None, set()
+            for name, value in _ATTRIBUTE.findall(attributes):
+                name = name.lower()
+                if name in ("class", "id", "role", "data-y") and name not in seen:
+                    seen.add(name)
+                    value = value[1:-1] if value[:1] in ("'", '"') else value
+                    if name == "data-y":
+                        label = value
+                    else:
+                        out |= {_WORD[t] for t in _TOKEN.findall(_CAMEL.sub(" ", value).lower()) if t in _WORD}
+            found = frozenset(out), label
+            if len(attributes) < 1000:
+                self.known[attributes] = found
+        return found
+
+    def below(self, place: Place, tag: str, kinds: frozenset) -> Place:
+        key = place, tag, kinds
+        found = self.under.get(key)
+        if found is None:
+            found = place.below(tag, kinds)
+            if (found.tags, found.said, found.leaf, found.inner) == (place.tags, place.said, place.leaf, place.inner):
+                found = place  # one more of what is there already
+            self.under[key] = found
+        return found
+
+    def blocks(self, page: str | None) -> list[Block]:
+        """The leaf blocks of a page in order."""
+        if len(self.under) > _MEMO or len(self.known) > _MEMO:
+            self.under.clear()
+            self.known.clear()
+        out: list[Block] = []
+        stack, text, linked = Stack(self.root), [], 0
+
+        def cut() -> None:
+            nonlocal linked
+            if text:
+                clean = " ".join(html.unescape("".join(text)).split())
+                if clean:
+                    out.append(Block(clean, stack.places[-1], linked, stack.labels[-1]))
+                text.clear()
+            linked = 0
+
+        def parent_end(at: int) -> int:
+            """Where the nearest open element with an end ends."""
+            for tag in sorted((n for n, places in stack.at.items() if places and ("/", n) not in endless), key=lambda n: -stack.at[n][-1]):
+                if end := re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at):
+                    return end.start()
+                endless.add(("/", tag))
+            return len(page)
+
+        endless: set = set()  # names of which no end follows
+        page, at = page or "", 0
+        while at < len(page):
+            m = _TAG.search(page, at)
+            if not m:
+                text.append(page[at:])
+                linked += (len(page) - at) * (stack.links > 0)
+                break
+            if m.start() > at:
+                text.append(page[at : m.start()])
+                linked += (m.start() - at) * (stack.links > 0)
+            at = m.end()
+            name = m[2] or m[5]
+            if not name:
+                if m[0].startswith("<![CDATA["):
+                    text.append(m[0][9:-3] if m[0].endswith("]]>") and len(m[0]) >= 12 else m[0][9:])
+                continue
+            name, attributes = name.lower(), (m[3] or m[6] or "")
+            if m[1] or m[4]:
+                if name in BLOCKS:
+                    cut()
+                own = stack.last((name,))
+                if own >= 0 and (name in BLOCKS or not stack.blocks or own > stack.blocks[-1]):
+                    stack.close(own)
+                continue
+            if name in BLOCKS:
+                cut()
+            if name in SKIPPED:
+                if not attributes.endswith("/"):
+                    end = None if name in endless else _END[name].search(page, at)
+                    at = end.end() if end else parent_end(at)
+                    if not end:
+                        endless.add(name)
+                continue
+            if name in VOID:
+                continue
+            if name in BLOCKS:
+                over, within = CLOSES.get(name, ((), ()))
+                if (own := stack.last(over)) > stack.last(within):
+                    stack.close(own)
+                if name != "button" and stack.scopes[-1] >= 0:  # a block ends an open paragraph
+                    stack.close(stack.scopes[-1])
+                if name in HEADINGS and stack.names and stack.names[-1] in HEADINGS:
+                    stack.close(len(stack.names) - 1)
+            kinds, label = self.kinds(attributes) if attributes else (frozenset(), None)
+            stack.push(name, self.below(stack.places[-1], name, kinds), label)
+        cut()
+        return out
+
+    def chain(self, page: str | None) -> tuple[list[Block], list[list[str]]]:
+        found = self.blocks(page)
+        return found, [features(b, i, len(found)) for i, b in enumerate(found)]
+
+    def main_text(self, page: str | None, field: Field) -> str:
+        found, chain = self.chain(page)
+        return " ".join(b.text for b, s in zip(found, field.decode(chain), strict=True) if s)
 
 
 def features(b: Block, at: int, of: int) -> list[str]:
     words = b.text.count(" ") + 1
     share = b.linked / max(len(b.text), 1)
-    out = list(above_features(b.above))
+    out = list(b.place.features)
     out.append("words:" + ("1" if words < 3 else "3" if words < 8 else "8" if words < 20 else "20"))
     out.append("links:" + ("0" if share < 0.1 else "1" if share < 0.5 else "2"))
     out.append("ends" if b.text[-1] in ".!?…。" else "open")
@@ -330,34 +395,26 @@ def labelled_pages(count: int = 320, seed: int = 5) -> Iterator[str]:
         yield "<body>" + "".join(rnd.sample(heads, rnd.randint(0, 4))) + open_ + title + body + close + "".join(rnd.sample(tails, rnd.randint(0, 4))) + "</body>"
 
 
-def chain_of(page: str | None) -> tuple[list[Block], list[list[str]]]:
-    found = blocks(page)
-    return found, [features(b, i, len(found)) for i, b in enumerate(found)]
-
-
 @lru_cache(4)
 def default_field() -> Field:
-    chains = []
+    """The field of the built pages; only the driver trains it."""
+    reader, chains = Reader(), []
     for page in labelled_pages():
-        found, chain = chain_of(page)
+        found, chain = reader.chain(page)
         if found:
             chains.append((chain, [int(b.label == "1") for b in found]))
     return train(chains)
 
 
-def main_text(page: str | None, field: Field) -> str:
-    found, chain = chain_of(page)
-    return " ".join(b.text for b, s in zip(found, field.decode(chain), strict=True) if s)
-
-
 def extracted(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages (page_id, url, html)."""
     C.check_columns(pages, "page_id", "url", "html")
     field = field or default_field()
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
         for f in frames:
-            text = [main_text(h, field) for h in f.html]
+            text = [reader.main_text(h, field) for h in f.html]
             yield f[["page_id", "url"]].assign(text=text, n_chars=[len(t) for t in text])
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

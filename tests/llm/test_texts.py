@@ -136,7 +136,7 @@ def test_pages(spark):
     assert got == {i: (t, len(t)) for i, t in enumerate(want)}
     wrong = total = 0
     for page in H.labelled_pages(100, seed=99):
-        found, chain = H.chain_of(page)
+        found, chain = H.Reader().chain(page)
         wrong += sum(int(b.label == "1") != s for b, s in zip(found, f.decode(chain), strict=True))
         total += len(found)
     assert wrong < 0.02 * total
@@ -195,7 +195,64 @@ def test_long_urls_are_mined(spark):
 
 
 def test_only_raw_text_is_skipped():
-    text = lambda page: [b.text for b in H.blocks(page)]
+    text = lambda page: [b.text for b in H.Reader().blocks(page)]
     assert text("<p>area <math><mi>x</mi> = 2</math> of <object>a <b>plan</b></object></p><noscript><p>shown</p></noscript>") == ["area x = 2 of a plan", "shown"]
     assert text("<p>a<video src=v>no video</p><p>b</p><script>x = 1</script><p>c</p>") == ["ano video", "b", "c"]
     assert text("<div><p>a</p><select><option>x</div><p>b</p>") == ["a", "b"] and text("<p>a</p><script>x") == ["a"]
+
+
+def test_attributes_by_the_rules_of_html():
+    f, r = H.default_field(), H.Reader()
+    page = "<article><h1>Title here</h1><p title=it's>Hello there my good friend.</p><p>It's fine and good today.</p></article>"
+    assert r.main_text(page, f) == "Title here Hello there my good friend. It's fine and good today."
+    text = lambda page: [b.text for b in r.blocks(page)]
+    assert text("<p class = 'a>b' id=\"c>d\" x=e'f\"g>one</p><p =odd a= >two</p><p/>three<p t=\"open>four") == ["one", "two", "three", "four"]
+    assert text("<![CDATA[abcdef") == ["abcdef"] and text("<p>a<![CDATA[b]]>c<![CDATA[]]>d") == ["abcd"]
+    assert r.kinds(" class=footer class=nav ID='side-bar'")[0] == {"foot", "side"} and r.kinds(" data-class=nav")[0] == frozenset()
+
+
+def test_an_open_paragraph_ends_at_a_block():
+    got = [(b.text, sorted(b.place.tags)) for b in H.Reader().blocks("<p><a><b><i><u><s><em><q>x<p>y<table><tr><td>z<p>w")]
+    assert got == [("x", ["a", "b", "em", "i", "p", "q", "s", "u"]), ("y", ["p"]), ("z", ["table", "td", "tr"]), ("w", ["p", "table", "td", "tr"])]
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    r = H.Reader()
+    found = r.blocks("".join(f"<div>w{i}" for i in range(100_000)))
+    assert len(found) == 100_000 and found[-1].text == "w99999" and len({id(b.place) for b in found}) == 1
+    assert len(r.blocks("<div>" * 100_000 + "</i>" * 100_000 + "<li>x" * 1000)) == 1000
+    assert H.Reader().main_text("<article>" + "<p>word one. " * 50_000, H.default_field()).count("word one.") == 50_000
+    assert time.time() - began < 30
+
+
+def test_viterbi_against_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        names = {f"f{i}": i for i in range(6)}
+        field = H.Field(names, rng.normal(size=(6, 2)), rng.normal(size=(2, 2)))
+        chain = [[f"f{i}" for i in range(6) if rng.random() < 0.5] + ["unknown"] for _ in range(rng.integers(1, 9))]
+
+        def score(states):
+            own = sum(field.state[names[n], s] for f, s in zip(chain, states, strict=True) for n in f if n in names)  # noqa: B023
+            return own + sum(field.move[a, b] for a, b in itertools.pairwise(states))  # noqa: B023
+
+        assert tuple(field.decode(chain)) == max(itertools.product((0, 1), repeat=len(chain)), key=score)
+
+
+def test_pages_written_by_hand(spark):
+    """Layouts that no rule of the training pages made."""
+    pages = {
+        1: ("<html><head><title>No</title></head><body><div id=top><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div><main><h1>Rivers</h1><p>The river rose in spring. It fell again in May.</p><p>People moved back.</p></main><footer>Contact us</footer></body></html>", "Rivers The river rose in spring. It fell again in May. People moved back."),
+        2: ("<body><header><nav><a href=a>One</a> <a href=b>Two</a></nav></header><div class='cookie-consent'>We use cookies to serve you better.</div><article><h2>On tea</h2><blockquote>Tea is warm.</blockquote><ul><li>Boil water first.</li><li>Wait a while.</li></ul></article><section id=comments><p>Great post, thanks!</p></section></body>", "On tea Tea is warm. Boil water first. Wait a while."),
+        3: ("<body><article class=post><p>First part of the story.</p><aside class=related><a href=x>More like this</a></aside><p>Second part of the story.</p><form><label>Mail</label><input></form></article></body>", "First part of the story. Second part of the story."),
+    }
+    rows = spark.createDataFrame([(i, None, h) for i, (h, _) in pages.items()] * 2, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in H.extracted(rows).collect()]
+    assert sorted(got) == sorted([(i, t) for i, (_, t) in pages.items()] * 2)
