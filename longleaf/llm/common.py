@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import sys
-import tempfile
+import ctypes
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Executors may not have this package installed, so its functions travel by value.
-cloudpickle.register_pickle_by_value(sys.modules["longleaf"])
+from longleaf.session import shared_dir
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,22 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only a local master, as in tests, may go without it and gets a folder of its own.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="longleaf-"))
-    return sc.getCheckpointDir()
-
-
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -72,22 +54,41 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.kept = spark, []
         small_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/longleaf-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        self.paths.append(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
         atexit.register(_drop_at_exit, self.spark, path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete these tables, or all that are still there."""
-        gone = {f.rpartition("/")[0].split("longleaf-")[-1] for t in tables for f in t.inputFiles()}
-        for p in [p for p in self.paths if not tables or p.split("longleaf-")[-1] in gone]:
-            drop(self.spark, p)
-            self.paths.remove(p)
+        """Delete these tables, which nothing reads any more."""
+        for table in tables:
+            for pair in [p for p in self.kept if p[0] is table]:
+                drop(self.spark, pair[1])
+                self.kept.remove(pair)
+
+
+def sized(table: DataFrame, most: int) -> DataFrame:
+    """A kept table as the other side of a join: broadcast up to so many rows; beyond, dealt by a shuffle of its own.
+
+    Spark splits a skewed partition of a merge join only where both sides come straight from a shuffle. A kept table
+    does; an aggregate, whose partitioning the join would share, doesn't.
+    """
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
 
 
 def fold(column: str, of: int):

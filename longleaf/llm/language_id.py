@@ -15,13 +15,13 @@ row at all, every text is `und`; other columns are never read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +38,11 @@ REJECT = 1.6
 QUANTILE = 0.99
 #: Lengths are told apart by powers of two, entropies by BINS a nat.
 LENGTHS, BINS = 32, 100
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters alone: numerals such as ² or ½ are none.
+LETTERS = regex.compile(r"\p{L}+")
 _BASE = 0x9E3779B97F4A7C15
-_MEMO, _LONG = 150_000, 64
+#: Tokens that a task remembers, letters of a token up to which it does, and tokens of a text that are scored at once.
+_MEMO, _LONG, _PART = 100_000, 64, 50_000
 
 
 def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +98,7 @@ class Model:
         """Nats a letter in each language, and how many letters (with boundaries) there are."""
         out, sizes = [], []
         for t in texts:
-            rows = memo.rows(t) if t else None
-            total = memo.table[rows].sum(0) if rows is not None and len(rows) else np.zeros(len(self.langs) + 1)
+            total = memo.total(t or "")
             sizes.append(total[-1])
             out.append(-total[:-1] / max(total[-1], 1))
         return np.array(out).reshape(-1, len(self.langs)), np.array(sizes)
@@ -131,44 +132,50 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Memo:
-    """Scores of tokens met so far; each batch of new ones is scored at once."""
+    """Scores of tokens met so far; each batch of new ones is scored at once. Long tokens are scored but not kept."""
 
     def __init__(self, model: Model):
         self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.table, self.n = {}, np.zeros((1024, len(self.model.langs) + 1)), 0
-
-    def rows(self, text: str) -> np.ndarray:
-        tokens = text.lower().split()
-        if len(self.at) > _MEMO:
-            self.clear()
-        get = self.at.get
-        rows = list(map(get, tokens))
-        if None in rows:
-            new = list({t for t, r in zip(tokens, rows, strict=True) if r is None})
-            self.add(new)
-            rows = list(map(get, tokens))
-            for t in [t for t in new if len(t) > _LONG]:
-                del self.at[t]
-        return np.array(rows, np.int64)
-
-    def add(self, tokens: list[str]) -> None:
+        self.at, self.table = {}, np.zeros((1024, len(self.model.langs) + 1))
+
+    def total(self, text: str) -> np.ndarray:
+        """Log probability of a text in each language, and its letters with boundaries."""
+        tokens, out, get = text.lower().split(), np.zeros(self.table.shape[1]), self.at.get
+        for i in range(0, len(tokens), _PART):
+            part = tokens[i : i + _PART]
+            rows = list(map(get, part))
+            if None in rows:
+                if len(self.at) > _MEMO:
+                    self.clear()
+                    rows, get = [None] * len(part), self.at.get
+                new = dict.fromkeys(t for t, r in zip(part, rows, strict=True) if r is None)
+                self.add([t for t in new if len(t) <= _LONG])
+                if long := Counter(t for t in part if len(t) > _LONG):
+                    out += np.array(list(long.values())) @ self.values(list(long))
+                rows = [r for r in map(get, part) if r is not None]
+            out += self.table[rows].sum(0)
+        return out
+
+    def values(self, tokens: list[str]) -> np.ndarray:
         parts = [LETTERS.findall(t) for t in tokens]
         words = [w for p in parts for w in p]
-        values = np.zeros((len(tokens), self.table.shape[1]))
+        out = np.zeros((len(tokens), self.table.shape[1]))
         if words:
-            owner = np.repeat(np.arange(len(tokens)), [len(p) for p in parts])
-            own = np.empty((len(words), values.shape[1]))
+            own = np.empty((len(words), out.shape[1]))
             own[:, :-1] = self.model.words(words)
             own[:, -1] = [len(w) + 1 for w in words]
-            np.add.at(values, owner, own)
-        while self.n + len(tokens) > len(self.table):
+            np.add.at(out, np.repeat(np.arange(len(tokens)), [len(p) for p in parts]), own)
+        return out
+
+    def add(self, tokens: list[str]) -> None:
+        n = len(self.at)
+        while n + len(tokens) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.n : self.n + len(tokens)] = values
-        self.at.update(zip(tokens, range(self.n, self.n + len(tokens)), strict=True))
-        self.n += len(tokens)
+        self.table[n : n + len(tokens)] = self.values(tokens)
+        self.at.update(zip(tokens, range(n, n + len(tokens)), strict=True))
 
 
 def build(counts: pd.DataFrame) -> Model:
@@ -311,6 +318,8 @@ def identify(model: Model):
         memo = Memo(model)
         for texts in batches:
             yield model.answers(texts, memo)
+        del memo
+        C.release()
 
     answers.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(answers, KIND)

@@ -97,3 +97,33 @@ def test_limits_of_columns_and_arrays_agree(spark):
     got = [r.a for r in frame.select("found", L.accepted(m.langs, m.limit).alias("a")).collect()]
     want = m.answers(texts, L.Memo(m)).accepted.tolist()
     assert [bool(x) for x in got] == want and 0 < sum(want) < len(want)
+
+
+def test_numerals_are_no_letters(spark):
+    m = model(spark)
+    got = m.answers(["²", "½ ①", "Ⅷ 12", "ª"], L.Memo(m))
+    assert got.lang_pred.tolist()[:3] == ["und"] * 3 and got.score.tolist()[:3] == [0.0] * 3 and got.lang_pred[3] != "und"
+
+
+def test_long_and_many_tokens_are_scored_but_not_kept(spark, monkeypatch):
+    m = model(spark)
+    monkeypatch.setattr(L, "_PART", 7)
+    monkeypatch.setattr(L, "_MEMO", 50)
+    rng, memo = np.random.default_rng(2), L.Memo(m)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 100))) for _ in range(60)) for _ in range(40)]
+    got = m.answers([*texts, *texts], memo)
+    assert len(memo.table) <= 1024 and all(len(t) <= L._LONG for t in memo.at) and len(memo.at) <= 50 + 7
+    monkeypatch.setattr(L, "_PART", 50_000)
+    want = pd.concat([m.answers([t], L.Memo(m)) for t in texts])
+    assert np.allclose(got.entropy[:40], want.entropy) and np.allclose(got.entropy[:40], got.entropy[40:]) and got.letters[:40].tolist() == want.letters.tolist()
+
+
+def test_ties_and_repeated_rows(spark):
+    same = [(i, EN, "en" if i % 2 else "de", "x", 1) for i in range(80)]
+    tied = L.fit(spark.createDataFrame(same, KIND), rows=10**6)
+    tied.grams, tied.logp = tied.grams, [np.repeat(x[:, :1], 2, axis=1) for x in tied.logp]
+    tied.back, tied.floor = [np.repeat(x[:, :1], 2, axis=1) for x in tied.back], np.repeat(tied.floor[:1], 2)
+    got = tied.answers([EN, EN, "cat"], L.Memo(tied))
+    assert got.lang_pred.tolist() == ["de"] * 3 and np.allclose(got.score, 0.5)
+    out = spark.createDataFrame([(1, EN)] * 3, "i long, text string").select(L.identify(tied)("text").alias("f")).collect()
+    assert len({(r.f.lang_pred, r.f.score) for r in out}) == 1 and len(out) == 3
