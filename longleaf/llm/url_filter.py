@@ -7,10 +7,13 @@ and an inverted index from token to rules finds those whose tokens are all in a
 confidence decides, then of highest support; `block` goes before `allow`; without any, DEFAULT holds.
 
 Labels are whatever a labelled frame says; the query labels the pages that a listed rule judges. The fit reads
-about FIT_ROWS labelled rows; matching reads every URL whole.
+about FIT_ROWS labelled rows; matching reads every URL whole. Tokens that lie in just the same labelled rows are one item
+to the mining, so that a site whose URLs share a long path doesn't have its rules multiplied by the path's subsets;
+at matching, each of them stands for that item.
 
 Defined cases: a null URL, or one without `://`, has empty host and path, no tokens and the default verdict; rows
-that repeat are judged alike; without labelled rows there are no mined rules; other columns aren't read.
+that repeat are judged alike; URLs of any length are mined and judged; without labelled rows there are no mined rules; an
+empty table gives an empty result; other columns, `host`, `path` and `verdict` among them, aren't read.
 """
 
 from __future__ import annotations
@@ -77,34 +80,46 @@ def token_column(urls: Column) -> Column:
     return F.pandas_udf(each, "array<string>")(urls)
 
 
-def mine(labelled: DataFrame, rows: int = FIT_ROWS, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
-    """(tokens, verdict, confidence, support) from labelled (id, url, verdict), best first.
+Rule = tuple[frozenset, str, float, float]
+
+
+def mine(labelled: DataFrame, rows: int = FIT_ROWS, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[list[Rule], dict[str, str]]:
+    """Rules (items, verdict, confidence, support) from labelled (id, url, verdict), best first; and the item of each token that isn't its own.
 
     About `rows` rows are read, chosen by the hash of id and URL.
     """
     labelled = labelled.filter("verdict is not null and url is not null")
     n = labelled.count()
     if not n:
-        return []
+        return [], {}
     chosen = labelled.filter(C.hash01(F.struct("id", "url")) < min(1.0, rows / n))
-    items = chosen.select(F.concat(token_column(F.col("url")), F.array(F.concat(F.lit("="), "verdict"))).alias("items")).filter(F.size("items") > 1)
-    items = frequent(C.Scratch(labelled.sparkSession).keep(items), support)
+    items = chosen.select(F.xxhash64("id", "url").alias("row"), token_column(F.col("url")).alias("tokens"), F.concat(F.lit("="), "verdict").alias("label")).filter("size(tokens) > 0")
+    scratch = C.Scratch(labelled.sparkSession)
+    items = scratch.keep(items)
+    names = frequent(items, support)
+    own = sorted(set(names.values()))
+    items = items.select(F.concat(F.array_intersect("tokens", F.lit(own) if own else F.array().cast("array<string>")), F.array("label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     found = model.associationRules.filter("size(consequent) = 1 and startswith(consequent[0], '=')").select("antecedent", F.substring(F.col("consequent")[0], 2, 1000).alias("verdict"), "confidence", "support")
     found = found.limit(MOST_RULES + 1).collect()
     if len(found) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules: raise support or confidence")
-    return prune([(frozenset(r.antecedent), r.verdict, r.confidence, r.support) for r in found])
+    return prune([(frozenset(r.antecedent), r.verdict, r.confidence, r.support) for r in found]), {t: name for t, name in names.items() if t != name}
 
 
-def frequent(items: DataFrame, support: float) -> DataFrame:
-    """The same rows without tokens below the support, which no frequent set holds."""
+def frequent(items: DataFrame, support: float) -> dict[str, str]:
+    """Tokens that a frequent set may hold, each with the first of those that lie in the same rows.
+
+    There are at most as many as tokens of a row divided by the support.
+    """
     least = max(1, math.ceil(support * items.count()))
-    common = [r.t for r in items.select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= least).collect()]
-    return items.select(F.array_intersect("items", F.lit(common) if common else F.array().cast("array<string>")).alias("items"))
+    per = items.select("row", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("where"))
+    names: dict[tuple, str] = {}
+    common = sorted((r.t, (r.n, r.where)) for r in per.filter(F.col("n") >= least).collect())
+    return {t: names.setdefault(where, t) for t, where in common}
 
 
-def prune(found: list[tuple[frozenset, str, float, float]]) -> list[tuple[frozenset, str, float, float]]:
+def prune(found: list[Rule]) -> list[Rule]:
     """Without rules that a rule of fewer tokens makes redundant; best first."""
     confidence = {(a, v): c for a, v, c, _ in found}
     kept = [r for r in found if not any(confidence.get((r[0] - {t}, r[1]), -1) >= r[2] for t in r[0])]
@@ -112,10 +127,10 @@ def prune(found: list[tuple[frozenset, str, float, float]]) -> list[tuple[frozen
 
 
 class Index:
-    """From each token to the rules that hold it; rules are numbered from the best."""
+    """From each token to the rules that hold its item; rules are numbered from the best."""
 
-    def __init__(self, rules: list[tuple[frozenset, str, float, float]]):
-        self.rules, self.lists = rules, {}
+    def __init__(self, rules: list[Rule], names: dict[str, str] | None = None):
+        self.rules, self.lists, self.names = rules, {}, names or {}
         for k, (a, *_) in enumerate(rules):
             for t in a:
                 self.lists.setdefault(t, []).append(k)
@@ -123,7 +138,7 @@ class Index:
 
     def best(self, found: list[str]) -> int | None:
         """The first rule whose tokens are all there."""
-        key = tuple(t for t in found if t in self.lists)
+        key = tuple(sorted({t for t in (self.names.get(t, t) for t in found) if t in self.lists}))
         if key not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -135,11 +150,11 @@ class Index:
         return self.known[key]
 
 
-def mined(rules: list[tuple[frozenset, str, float, float]], urls: Column) -> Column:
+def mined(rules: list[Rule], names: dict[str, str], urls: Column) -> Column:
     """A struct (verdict, confidence, because) of mined rules for a URL column; nulls where none matches."""
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = Index(rules)
+        index = Index(rules, names)
         for b in batches:
             at = [index.best(tokens(u)) for u in b]
             rows = [(None, None, None) if k is None else (rules[k][1], rules[k][2], " ".join(sorted(rules[k][0]))) for k in at]
@@ -155,8 +170,8 @@ def judged(pages: DataFrame, rules=RULES, rows: int = FIT_ROWS) -> DataFrame:
     host, path = parts(F.col("url"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     seen = pages.select("page_id", "url").withColumns({"host": host, "path": path}).withColumns({"rule": rule, "listed": verdict})
-    index = mine(seen.select(F.col("page_id").alias("id"), "url", F.col("listed").alias("verdict")), rows)
-    out = seen.withColumn("m", mined(index, F.col("url")))
+    found, names = mine(seen.select(F.col("page_id").alias("id"), "url", F.col("listed").alias("verdict")), rows)
+    out = seen.withColumn("m", mined(found, names, F.col("url")))
     confidence = F.when(F.col("rule").isNull(), F.col("m.confidence"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "m.verdict", F.lit(DEFAULT)).alias("verdict"), confidence.alias("confidence"), F.when(F.col("rule").isNull(), F.col("m.because")).alias("because"))
 
