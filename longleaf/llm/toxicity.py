@@ -13,7 +13,8 @@ Fits read about FIT_TOXIC toxic and FIT_CLEAN clean labelled rows; scoring reads
 
 Defined cases: null, empty and wordless texts have no evidence and get the score of texts without hits; documents
 with several labels count as toxic if one says so; null labels count as none; without toxic or without clean rows
-the lexicon is empty and all scores are 0; rows that repeat are scored alike; other columns aren't read.
+the lexicon is empty and all scores are 0; rows that repeat are scored alike; words of any length are learnt and looked
+for; empty tables give empty results; other columns, `score` and `predicted` among them, aren't read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ REPORTING = frozenset("said says quote quoted quotes wrote writes called word te
 ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr tu toi ton ta vous votre tú te tus usted ustedes".split())
 MARKS = "\"“”„«»"
 STEM = re.compile(r"^[\W_]+|[\W_]+$")
-_MEMO, _LONG = 300_000, 64
+#: Tokens that a task remembers, and letters of a token up to which it does; letters of a term up to which variants stand for it.
+_MEMO, _LONG, _VARIED = 300_000, 64, 24
 
 
 def plain(token: str) -> str:
@@ -154,18 +156,20 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.by = []  # by edits: trie, variants and least letters of a misspelt term
-        for d in sorted({reach(w) for w in lexicon.weight} - {0}):
-            terms = [w for w in lexicon.weight if reach(w) == d]
-            self.by.append((d, Trie(terms), {v for w in terms for v in deletions(w, d)}, min(map(len, terms)) - d))
+        self.by = []  # by edits and length: trie, variants, least and most letters of a misspelt term
+        for d, long in sorted({(reach(w), len(w) > _VARIED) for w in lexicon.weight if reach(w)}):
+            terms = [w for w in lexicon.weight if (reach(w), len(w) > _VARIED) == (d, long)]
+            variants = None if long else {v for w in terms for v in deletions(w, d)}
+            self.by.append((d, Trie(terms), variants, min(map(len, terms)) - d, max(map(len, terms)) + d))
         self.memo: dict[str, float] = {}
 
     def near(self, word: str) -> tuple[int, str] | None:
-        if len(word) > _LONG or word in self.lexicon.innocent:
+        """The nearest term that the word may be a misspelling of. A word longer than all terms and their edits is none."""
+        if word in self.lexicon.innocent:
             return None
         found = []
-        for d, trie, variants, least in self.by:
-            if len(word) >= least and not variants.isdisjoint(deletions(word, d)):
+        for d, trie, variants, least, most in self.by:
+            if least <= len(word) <= most and (variants is None or not variants.isdisjoint(deletions(word, d))):
                 found += trie.within(Swapping(word, d))
         return min(found, key=lambda x: (x[0], -self.lexicon.weight[x[1]], x[1])) if found else None
 
@@ -218,7 +222,7 @@ def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for text, toxic in zip(f.text, f.toxic, strict=True):
-            found = [w for w in map(plain, text.lower().split()) if 1 < len(w) <= _LONG]
+            found = [w for w in map(plain, text.lower().split()) if len(w) > 1]
             out += [(w, None, bool(toxic)) for w in set(found)]
             if toxic:
                 around = ["", *found, ""]

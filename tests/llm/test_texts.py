@@ -190,7 +190,7 @@ def test_every_term_is_looked_for_misspelt():
 
 def test_long_urls_are_mined(spark):
     rows = [(i, f"http://{'good' if i % 2 else 'bad'}.example.net/" + "/".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(25)), "allow" if i % 2 else "block") for i in range(400)]
-    rules = U.mine(spark.createDataFrame(rows, "id long, url string, verdict string"))
+    rules, _ = U.mine(spark.createDataFrame(rows, "id long, url string, verdict string"))
     assert {(frozenset(["host:bad"]), "block"), (frozenset(["host:good"]), "allow")} <= {r[:2] for r in rules}
 
 
@@ -256,3 +256,79 @@ def test_pages_written_by_hand(spark):
     rows = spark.createDataFrame([(i, None, h) for i, (h, _) in pages.items()] * 2, "page_id long, url string, html string")
     got = [(r.page_id, r.text) for r in H.extracted(rows).collect()]
     assert sorted(got) == sorted([(i, t) for i, (_, t) in pages.items()] * 2)
+
+
+def test_mining_against_all_subsets(spark):
+    import itertools
+
+    rnd, rows = random.Random(9), []
+    for i in range(120):
+        path = "/".join(sorted(rnd.sample(["news", "shop", "x", "y", "buy"], rnd.randint(0, 4))))
+        url = f"http://{rnd.choice('ab')}.{rnd.choice(['one', 'two'])}.net/{path}" + ("/deep/deeper/deepest?u=1" if i % 5 == 0 else "")
+        rows.append((i, url, "block" if ("shop" in path) != (rnd.random() < 0.15) else "allow"))
+    rows += rows[:20]  # rows that repeat count again
+    rules, names = U.mine(spark.createDataFrame(rows, "id long, url string, verdict string"), support=0.05, confidence=0.6)
+    index, sets, n = U.Index(rules, names), [(frozenset(U.tokens(u)), v) for _, u, v in rows], len(rows)
+    assert names and rules
+    every = sorted(set().union(*(s for s, _ in sets)))
+    found = []
+    for size in range(1, 7):
+        for a in map(frozenset, itertools.combinations(every, size)):
+            inside = [v for s, v in sets if a <= s]
+            for v in ("allow", "block"):
+                k = inside.count(v)
+                if k and k >= 0.05 * n and k / len(inside) >= 0.6:
+                    found.append((a, v, k / len(inside), k / n))
+    asked = {u for _, u, _ in rows} | {"http://c.one.net/deep/shop", "http://q.net/shop/x?u=2", "ftp://elsewhere.org/"}
+    for url in asked:
+        has, at = set(U.tokens(url)), index.best(U.tokens(url))
+        want = max(((c, s, v == "block") for a, v, c, s in found if a <= has), default=None)
+        got = None if at is None else (rules[at][2], rules[at][3], rules[at][1] == "block")
+        assert (got is None) == (want is None) and (got is None or (abs(got[0] - want[0]) < 1e-9 and abs(got[1] - want[1]) < 1e-9 and got[2] == want[2]))
+
+
+def test_mined_verdicts_and_repeated_pages(spark):
+    """Where no listed rule fits, what goes along with their verdicts decides."""
+    urls = [f"http://s{i % 7}.example.com/{'fr' if i % 2 else 'de'}/{i}" for i in range(200)]
+    asked = ["http://s1.example.net/de/5", "http://s1.example.net/fr/5", "http://other.info/zz", "http://s1.example.net/de/5"]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls + asked)], "page_id long, url string, verdict string, rule string")
+    got = {r.page_id: r for r in U.judged(pages).filter("page_id >= 200").collect()}
+    assert [(got[200 + k].verdict, got[200 + k].rule) for k in range(4)] == [("block", None), ("allow", None), ("allow", None), ("block", None)]
+    assert got[200].because and got[201].because and not got[202].because and got[200].because == got[203].because
+    assert U.mine(spark.createDataFrame([], "id long, url string, verdict string")) == ([], {})
+
+
+def test_shared_paths_are_one_item(spark):
+    deep = "/".join(f"{a}{b}" for a in "abcdef" for b in "ghijk")
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}.net/{deep if i % 2 else 'p'}/{i}", "block" if i % 2 else "allow") for i in range(200)]
+    rules, names = U.mine(spark.createDataFrame(rows, "id long, url string, verdict string"))
+    assert len(rules) < 20 and set(names.values()) == {"end:net", "host:bad", "host:good"}
+    assert U.Index(rules, names).best(U.tokens("http://x.org/fk")) is not None
+
+
+def test_long_words_are_terms_too():
+    long = "schwachsinn" * 8
+    m = X.Lexicon({long: 4.0, "idiot": 2.0}).matcher()
+    assert m.weigh(long) == 4.0 and m.weigh(long[:40] + "x" + long[41:]) == 2.0 and m.weigh(long[:-3]) == 0 and m.weigh("y" * 200_000) == 0
+    (frame,) = X.words_of([__import__("pandas").DataFrame({"text": [f"a bb {long}"], "toxic": [1]})])
+    assert long in set(frame.word)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Labels of the given table, some of which call texts toxic that hold no such word."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic is not null").select("doc_id", "toxic")
+    r = X.op4(spark, "/root/testdata/sf0.01").filter("held_out").join(labels, "doc_id").toPandas()
+    assert r[r.toxic == 1].predicted.mean() >= 0.6 and r[r.toxic == 0].predicted.mean() <= 0.02
+
+
+def test_toxicity_repeats_and_clashing_columns(spark):
+    import pyspark.sql.functions as F
+
+    lex = X.Lexicon({"idiot": 5.0})
+    rows = spark.createDataFrame([(1, "what an idiot", 9.0, 7)] * 3 + [(2, None, 9.0, 7)], "doc_id long, text string, score double, predicted int")
+    got = rows.select("doc_id", X.scored(lex, F.col("text")).alias("found")).select("doc_id", "found.score").collect()
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and len(got) == 4
