@@ -13,11 +13,13 @@ two rounds, so that a group of near copies isn't expanded into its pairs:
    at home with full sets, which brings most of them in; the few that stay out then meet all tiles.
 
 Every pair that shares a bucket is thus confirmed, refused by signature or set, or already in one component.
-Components come from alternating large-star and small-star.
+Components come from alternating large-star and small-star. What is counted of hot keys is kept before it meets
+their rows: small tables are broadcast, and with others the join is one whose skewed partitions Spark splits.
 
 Defined cases: without words or text a set is empty and linked with nothing; with fewer words than
 a shingle has, the whole sequence is the one shingle; rows with a null id have no component; an id
-that repeats is one node, with the smallest id of its texts' components each; other columns are not read.
+that repeats is one node, with the smallest id of its texts' components each; an empty table gives an empty
+result; texts may be of any length; other columns, `n` and `key` among them, are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import components, merged
 
 BANDS, ROWS = 32, 5
 #: Standard deviations of a signature's estimate by which it may fall short of the threshold.
@@ -151,12 +153,13 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def tiled(pairs: DataFrame) -> DataFrame:
-    """Groups (a, tile, doc, key) in which each a of pairs (a, b, a_key, b_key) meets its bs, TILE at a time."""
-    tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("tiles")).withColumnRenamed("a", "hub")
-    dealt = pairs.join(tiles.hint("merge"), F.col("a") == F.col("hub")).withColumn("tile", F.pmod(F.xxhash64("b"), F.col("tiles")))
-    heads = dealt.groupBy("a", "tile").agg(F.first("a_key").alias("key")).select("a", "tile", F.col("a").alias("doc"), "key")
-    return dealt.select("a", "tile", F.col("b").alias("doc"), F.col("b_key").alias("key")).union(heads)
+def tiled(pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Groups (a, tile, doc, key) in which each a of kept pairs (a, b, a_key, b_key) meets its bs, TILE at a time."""
+    heads = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.first("a_key").alias("key")))
+    hot = scratch.keep(heads.filter("tiles > 1").select(F.col("a").alias("hub"), "tiles"))
+    dealt = pairs.join(C.sized(hot, BROADCAST_ROWS), F.col("a") == F.col("hub"), "left").withColumn("tile", F.pmod(F.xxhash64("b"), F.coalesce("tiles", F.lit(1))))
+    own = heads.select("a", F.explode(upto("tiles")).alias("tile"), F.col("a").alias("doc"), "key")
+    return dealt.select("a", "tile", F.col("b").alias("doc"), F.col("b_key").alias("key")).union(own)
 
 
 def links(docs: DataFrame, groups: DataFrame, words: int, percent: int, scratch: C.Scratch) -> DataFrame:
@@ -165,8 +168,7 @@ def links(docs: DataFrame, groups: DataFrame, words: int, percent: int, scratch:
     Of a group's links, as many come out as join what all of them join.
     """
     groups = scratch.keep(groups)
-    few = groups.count() <= BROADCAST_ROWS
-    rows = docs.select("doc_id", "text").join(F.broadcast(groups) if few else groups, F.col("doc_id") == F.col("doc")).select("a", "tile", "doc", "key", "text")
+    rows = docs.select("doc_id", "text").join(C.sized(groups, BROADCAST_ROWS), F.col("doc_id") == F.col("doc")).select("a", "tile", "doc", "key", "text")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -192,20 +194,22 @@ def links(docs: DataFrame, groups: DataFrame, words: int, percent: int, scratch:
             yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     found = rows.mapInPandas(sets, "a long, tile long, doc long, found binary")
-    return scratch.keep(found.repartition("a", "tile").sortWithinPartitions("a", "tile").mapInPandas(confirm, "a long, b long"))
+    out = scratch.keep(found.repartition("a", "tile").sortWithinPartitions("a", "tile").mapInPandas(confirm, "a long, b long"))
+    scratch.drop(groups)
+    return out
 
 
-def meetings(members: DataFrame, percent: int) -> DataFrame:
+def meetings(members: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
     """(main, rep, key, guest): representatives that may have a link across components, by their signatures.
 
-    members has (bucket, rep, key, n, signature, component). main is the largest component of a bucket,
+    members, a kept table, has (bucket, rep, key, n, signature, component). main is the largest component of a bucket,
     in which a rep is at home or a guest. The largest component is never compared with itself: its tiles meet
     those of the guests, which also meet each other.
     """
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("kinds")).filter("kinds > 1")
     sizes = sizes.select(F.col("bucket").alias("at"), F.col("top.component").alias("main"), F.ceil(F.col("top.rows") / TILE).alias("main_tiles"), F.ceil((F.col("all") - F.col("top.rows")) / TILE).alias("rest_tiles"))
-    rows = members.join(sizes.hint("merge"), F.col("bucket") == F.col("at"))
+    rows = members.join(C.sized(scratch.keep(sizes), BROADCAST_ROWS), F.col("bucket") == F.col("at"))
     number = F.xxhash64(F.lit(3), "rep")
     m, r = F.pmod(number, "main_tiles"), F.pmod(number, "rest_tiles")
     group = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -241,30 +245,30 @@ def upto(n: str) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
 
 
-def first_visits(met: DataFrame) -> DataFrame:
+def first_visits(met: DataFrame, scratch: C.Scratch) -> DataFrame:
     """Groups (a, tile, doc, key) of met (main, rep, key, guest) in which each guest meets one tile of those at home.
 
     Where guests and those at home are a tile each, that is all there is to compare.
     """
     n = met.groupBy("main").agg(F.ceil(F.count_if(~F.col("guest")) / TILE).alias("homes"), F.ceil(F.count_if("guest") / TILE).alias("guests")).withColumnRenamed("main", "at")
-    rows = met.join(n.filter("guests > 0").hint("merge"), F.col("main") == F.col("at"))
+    rows = met.join(C.sized(scratch.keep(n.filter("guests > 0")), BROADCAST_ROWS), F.col("main") == F.col("at"))
     number = F.xxhash64(F.lit(5), "rep")
     home = F.pmod(number, F.greatest("homes", F.lit(1)))
     tiles = F.when(F.col("guest"), F.array(F.pmod(number, "guests"))).otherwise(F.filter(upto("guests"), lambda g: F.pmod(g, F.greatest("homes", F.lit(1))) == home))
     return rows.select(F.col("main").alias("a"), F.explode(tiles).alias("tile"), F.col("rep").alias("doc"), "key")
 
 
-def all_visits(met: DataFrame, found: DataFrame) -> DataFrame:
+def all_visits(met: DataFrame, found: DataFrame, scratch: C.Scratch) -> DataFrame:
     """Groups in which the guests that are still in another component than main meet everyone else there, tile by tile."""
     now = found.select(F.col("node"), F.col("component").alias("now"))
     rows = met.join(now, met.rep == now.node, "left").withColumn("own", F.coalesce("now", "rep")).drop("node", "now")
     rows = rows.join(now, rows.main == now.node, "left").withColumn("host", F.coalesce("now", "main")).drop("node", "now")
-    rows = rows.withColumn("left", F.col("guest") & (F.col("own") != F.col("host")))
+    rows = scratch.keep(rows.withColumn("left", F.col("guest") & (F.col("own") != F.col("host"))))
     n = rows.groupBy("main").agg(F.count("*").alias("all"), F.count_if("guest").alias("guests"), F.count_if("left").alias("still"))
     # up to one tile of guests and one of others, the first visits have compared all
     n = n.filter((F.col("still") > 0) & ((F.col("guests") > TILE) | (F.col("all") - F.col("guests") > TILE)))
     n = n.select(F.col("main").alias("at"), F.ceil(F.col("all") / TILE).alias("tiles"), F.ceil(F.col("still") / TILE).alias("rounds"))
-    rows = rows.join(n.hint("merge"), F.col("main") == F.col("at"))
+    rows = rows.join(C.sized(scratch.keep(n), BROADCAST_ROWS), F.col("main") == F.col("at"))
     number = F.xxhash64(F.lit(7), "rep")
     tile, turn = F.pmod(number, "tiles"), F.pmod(number, "rounds")
     pair = lambda r, t: r * F.col("tiles") + t
@@ -276,25 +280,26 @@ def all_visits(met: DataFrame, found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text)."""
     C.check_columns(docs, "doc_id", "text")
-    scratch = C.Scratch(docs.sparkSession)
+    scratch, passing = C.Scratch(docs.sparkSession), C.Scratch(docs.sparkSession)
     rows = scratch.keep(described(docs, words))
     some = rows.filter("n > 0 and doc_id is not null")
     reps = scratch.keep(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     each = reps.select(F.explode("bands").alias("bucket"), "rep")
     shared = each.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("rep").alias("head")).filter("rows > 1").select(F.col("bucket").alias("at"), "head")
-    members = scratch.keep(each.join(shared.hint("merge"), F.col("bucket") == F.col("at")).select("bucket", "rep", "head"))
+    members = passing.keep(each.join(C.sized(passing.keep(shared), BROADCAST_ROWS), F.col("bucket") == F.col("at")).select("bucket", "rep", "head"))
     heads = members.groupBy("rep").agg(F.min("head").alias("head")).filter("rep <> head")
     keys = reps.select("rep", "key")
     named = heads.join(keys, "rep").select(F.col("head").alias("a"), F.col("rep").alias("b"), F.col("key").alias("b_key"))
-    named = named.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("a_key")), "a")
-    first = links(docs, tiled(named), words, percent, scratch)
+    named = passing.keep(named.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("a_key")), "a"))
+    first = links(docs, tiled(named, passing), words, percent, passing)
     found = components(first, scratch)
     wide = members.select("bucket", "rep").join(reps.select("rep", "key", "n", "signature"), "rep")
     wide = wide.join(found, wide.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    met = scratch.keep(meetings(wide, percent))
-    for visits in (lambda: first_visits(met), lambda: all_visits(met, found)):
-        more = links(docs, visits(), words, percent, scratch)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
+    met = passing.keep(meetings(passing.keep(wide), percent, passing))
+    if not met.isEmpty():
+        found = merged(found, links(docs, first_visits(met, passing), words, percent, passing), scratch)
+        found = merged(found, links(docs, all_visits(met, found, passing), words, percent, passing), scratch)
+    passing.drop(*[t for t, _ in passing.kept])
     named = reps.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("its"), F.coalesce("component", "rep").alias("found"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, F.col("key") == F.col("its"), "left")
     component = F.coalesce("found", "doc_id")

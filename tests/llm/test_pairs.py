@@ -2,9 +2,13 @@
 
 import math
 import random
+import re
 
 import numpy as np
+import pytest
 
+from longleaf.llm import common as C
+from longleaf.llm import components as K
 from longleaf.llm import embedding_dedup as E
 from longleaf.llm import minhash as M
 
@@ -25,7 +29,19 @@ def classes(ids, linked):
     return {i: top(i) for i in ids}
 
 
-def test_documents(spark):
+def plain_shingles(text, words):
+    """The set by its definition, as tuples of words."""
+    found = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
+    found = [w for w in re.split(rb"[\x20\x09-\x0D]+", found) if w]
+    return {tuple(found[i : i + words]) for i in range(max(len(found) - words + 1, 1))} if found else set()
+
+
+@pytest.mark.parametrize("tile, few", [(256, 200_000), (4, 200_000), (4, 0)])
+def test_documents(spark, monkeypatch, tile, few):
+    """Also with small tiles, which all kinds of visits need, and without any broadcast."""
+    monkeypatch.setattr(M, "TILE", tile)
+    monkeypatch.setattr(M, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(K, "BROADCAST_EDGES", few)
     rnd, rows = random.Random(3), []
     base = [[f"w{rnd.randint(0, 400)}" for _ in range(60)] for _ in range(6)]
     for i in range(120):
@@ -35,13 +51,15 @@ def test_documents(spark):
         rows.append((i, " ".join(words)))
     rows += [(200, None), (201, ""), (202, " \t"), (203, "one"), (204, "ONE"), (205, "x " * 50_000), (206, "x"), (207, "É a"), (208, "é a"), (None, "one")]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n int, key string")
-    for words in (2, 5):
+    for words in (2, 5) if tile > 4 else (2,):
         got = {r.doc_id: r for r in M.near_duplicates(docs, words).collect()}
-        sets = {i: set(M.shingles(t, words).tolist()) for i, t in rows if i is not None}
+        sets = {i: plain_shingles(t, words) for i, t in rows if i is not None}
         want = classes(sorted(sets), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and len(sets[i] | sets[j]) > 0)  # noqa: B023
         assert {i: r.component_id for i, r in got.items() if i is not None} == want
         assert all(got[i].n_shingles == len(s) and got[i].kept == (want[i] == i) for i, s in sets.items())
         assert got[None].component_id is None and got[None].kept
+    if tile == 4:
+        return
     kept = M.stage(spark, docs, "")
     assert kept.columns == docs.columns and kept.count() == sum(i == c for i, c in want.items()) + 1
 
@@ -78,3 +96,56 @@ def test_vectors(spark):
         assert got[i].n_links == (sum(cos(i, j) for j in x if j != i) if i in x else 0)
         assert got[i].component_id == want.get(i, i) and got[i].kept == (want.get(i, i) == i)
     assert E.near_duplicates(v.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_and_later_links(spark, monkeypatch, few):
+    monkeypatch.setattr(K, "BROADCAST_EDGES", few)
+    rnd, scratch = random.Random(few), C.Scratch(spark)
+    edges = [(rnd.randint(0, 150), rnd.randint(0, 150)) for _ in range(70)] + [(i, i + 1) for i in range(200, 230)] + [(7, 7), (None, 3)]
+    later = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(15)] + [(5, 5)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    for more in (later, []):
+        have = {frozenset(e) for e in edges + more if None not in e}
+        want = classes(sorted(set().union(*have)), lambda i, j: frozenset((i, j)) in have)  # noqa: B023
+        found = K.merged(K.components(frame(edges), scratch), frame(more), scratch).collect()
+        assert {r.node: r.component for r in found} == {i: c for i, c in want.items() if i != c} and len({r.node for r in found}) == len(found)
+    assert K.components(frame([]), scratch).count() == 0
+
+
+SKEW = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.files.maxPartitionBytes": "32k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    frame = df.select(*df.columns)
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """One node with four fifths of the edges, one document with four fifths of the pairs: the final plans split their partitions."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(K, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    before = {k: spark.conf.get(k) for k in SKEW}
+    try:
+        for k, v in SKEW.items():
+            spark.conf.set(k, v)
+        scratch = C.Scratch(spark)
+        hot = F.when(F.col("id") % 5 > 0, F.lit(-1)).otherwise(F.col("id"))
+        edges = scratch.keep(spark.range(0, 60_000, 1, 8).select((F.col("id") + 100).alias("a"), hot.alias("b")))
+        assert "skew=true" in final_plan(K._large_star(edges, scratch, False))
+        turned = scratch.keep(edges.select(F.col("b").alias("a"), (-F.col("a")).alias("b")))
+        assert "skew=true" in final_plan(K._small_star(turned, scratch, False))
+        pairs = scratch.keep(turned.select("a", "b", F.lit(b"x").alias("a_key"), F.lit(b"y").alias("b_key")))
+        assert "skew=true" in final_plan(M.tiled(pairs, scratch))
+        met = scratch.keep(edges.select(F.col("b").alias("main"), F.col("a").alias("rep"), F.lit(b"k").alias("key"), (F.col("a") % 50 == 0).alias("guest")))
+        assert "skew=true" in final_plan(M.first_visits(met, scratch))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
