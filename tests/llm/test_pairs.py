@@ -77,7 +77,12 @@ def test_intersections_in_ranges(monkeypatch):
     assert (M.intersections(sets) == want)[~np.eye(7, dtype=bool)].all()
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("tile, few", [(2048, 200_000), (8, 0)])
+def test_vectors(spark, monkeypatch, tile, few):
+    """Also with small tiles and without any broadcast."""
+    monkeypatch.setattr(E, "TILE", tile)
+    monkeypatch.setattr(E, "BROADCAST_LISTS", few)
+    monkeypatch.setattr(K, "BROADCAST_EDGES", few)
     rng = np.random.default_rng(1)
     rows, centres = [], rng.normal(size=(5, 16))
     for i in range(300):
@@ -95,7 +100,38 @@ def test_vectors(spark):
     for i in got:
         assert got[i].n_links == (sum(cos(i, j) for j in x if j != i) if i in x else 0)
         assert got[i].component_id == want.get(i, i) and got[i].kept == (want.get(i, i) == i)
-    assert E.near_duplicates(v.limit(0)).count() == 0
+    if tile == 8:
+        assert E.near_duplicates(v.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("coarse", [4096, 100])
+def test_recall_of_many_vectors(spark, monkeypatch, tmp_path, coarse):
+    """60,000 vectors of 40 labels, one of which holds a third; with the pivots searched one by one and by two levels."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(E, "COARSE", coarse)
+    rng, n, dim = np.random.default_rng(4), 60_000, 32
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    label = np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 40, n))
+    near = rng.choice(n, 20_000, replace=False)
+    of = rng.choice(n, 20_000)
+    spread = rng.choice([0.05, 0.12, 0.19], (20_000, 1))
+    x[near] = x[of] / np.linalg.norm(x[of], axis=1, keepdims=True) * dim**0.5 + spread * rng.normal(size=(20_000, dim)).astype(np.float32)
+    label[near] = label[of]
+    units, links = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 0
+    degree = np.zeros(n, np.int64)
+    for k in range(40):
+        own = np.flatnonzero(label == k)
+        for i in range(0, len(own), 2000):
+            part = own[i : i + 2000]
+            fits = units[part] @ units[own].T >= 0.98
+            degree[part] = fits.sum(1) - 1
+    import pandas as pd
+
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x), "label": label.astype(np.int32)}).to_parquet(tmp_path / "v.parquet")
+    got = E.near_duplicates(spark.read.parquet(str(tmp_path / "v.parquet"))).agg(F.sum("n_links").alias("links"), F.count("*").alias("rows")).first()
+    links = int(degree.sum())
+    assert got.rows == n and links > 15_000 and 0.99 * links <= got.links <= links, (got.links, links)
 
 
 @pytest.mark.parametrize("few", [200_000, 0])
