@@ -1,20 +1,21 @@
 """SentencePiece encoding and decoding by a streaming lattice (operator 7).
 
-The encoder reads characters one after another and keeps, for each position of a window
-bounded by the longest piece, the piece that ends there on the best path and so the position it came
-from. As soon as all positions of the window lead back to one boundary, the ids before it are
-committed and forgotten, so that memory doesn't grow with the text.
+A text is a stream of characters. The encoder keeps, for each position of a window bounded by the longest
+piece, the piece that ends there on the best path and so the position it came from. As soon as all
+positions of the window lead back to one boundary, the ids before it are committed and forgotten, so that memory
+doesn't grow with the text. Where no piece of the vocabulary can span a boundary (before a blank that
+follows something else, at a line end), all paths meet without a look at them: there the window closes, and the
+ids of what it held are remembered, so that a stretch which comes again is committed at once.
 
 What the best path is depends on the kind of model. A unigram model takes the path of highest
 score (Viterbi). In a BPE model the encoding of a prefix has exactly one last piece, which is the
 one that merges with its predecessor's piece to just these two; so the same lattice holds one
-backpointer a position and gives what merging gives. Where no piece of the vocabulary can span a
-boundary (before a blank that follows something else), all paths meet; what lies between two such
-boundaries is encoded once a task and looked up afterwards.
+backpointer a position and gives what merging gives.
 
 Defined cases: a null text has null ids and counts of 0, an empty text has no ids; characters outside
 the vocabulary become their UTF-8 bytes if the model has byte pieces, else one unknown id for each run; rows that
-repeat are encoded alike; other columns aren't read. Decoding gives the text back, but that U+2581 becomes a blank.
+repeat are encoded alike; an empty table gives an empty result; texts may be of any length; other columns, `ids` among
+them, aren't read. Decoding gives the text back, but that U+2581 becomes a blank.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 import sys
 from collections.abc import Iterator
 from itertools import chain, islice
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ KEPT = 120_000
 HEAD, HEADS = 8, 100_000
 #: Characters between attempts to commit.
 STEP = 64
+#: Pairs of pieces of which a worker remembers whether they stand next to each other.
+PAIRS = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -107,7 +111,9 @@ class Model:
         #: Suffixes of these pieces, with the code of the piece or 0.
         self.code = {p[i:]: 0 for p in pieces_left for i in range(len(p))}
         self.code.update((p, k + 1) for k, p in enumerate(pieces_left))
-        self.fits: dict[int, bool] = {}
+        #: By piece: whether another may follow it.
+        self.fits: list[dict[int, bool]] = [{} for _ in self.names]
+        self.known = 0
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the adjacent pair of best score merges, the leftmost of equals first."""
@@ -125,15 +131,19 @@ class Model:
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether merging the pieces of two codes together leaves just these two."""
-        if len(self.fits) > 8 * MEMO:
-            self.fits.clear()
+        if self.known > PAIRS:
+            self.known = 0
+            for row in self.fits:
+                row.clear()
         x, y = self.names[a], self.names[b]
-        known = self.fits[a << 32 | b] = self.merged(x + y) == [x, y]
-        return known
+        found = self.fits[a][b] = self.merged(x + y) == [x, y]
+        self.known += 1
+        return found
 
     def stranger(self, letter: str) -> int:
         """A new code for a character that no piece ends in."""
         self.names.append(letter)
+        self.fits.append({})
         self.code[letter] = len(self.names) - 1
         return self.code[letter]
 
@@ -151,8 +161,8 @@ class Model:
                     if k:
                         at = end - n
                         if at:
-                            key = last[at] << 32 | k
-                            if fits[key] if key in fits else self.neighbours(last[at], k):
+                            fit = fits[last[at]].get(k)
+                            if fit or fit is None and self.neighbours(last[at], k):
                                 break
                         elif first:
                             break
@@ -184,22 +194,23 @@ class Model:
         return tuple(self.bytes[b] for b in raw) if all(b in self.bytes for b in raw) else (self.unknown,)
 
 
-class Stream:
-    """Pieces of a text that comes in parts, committed as soon as they are certain."""
+class Window:
+    """The lattice of what isn't committed yet of a stretch that comes in parts."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.text, self.first = "", True  # what isn't committed, and whether it is the text's beginning
-        self.size, self.last, self.total = [0], [0], [0.0]
+    def __init__(self, model: Model, begun: tuple[str, list, list, list] | None = None):
+        self.model, self.first = model, True  # whether the window begins where the stretch does
+        self.text, self.size, self.last, self.total = begun or ("", [0], [0], [0.0])
         self.widest = 0  # positions held at once, for tests
 
     def push(self, part: str) -> list[str]:
+        """Pieces that are certain by now."""
         out: list[str] = []
         for i in range(0, len(part), STEP):
             self.text += part[i : i + STEP]
             self.model.extend(self.text, self.size, self.last, self.total, self.first)
             self.widest = max(self.widest, len(self.size))
-            out += self._commit()
+            if len(self.text) > STEP:
+                out += self._commit()
         return out
 
     def _path(self, end: int) -> list[int]:
@@ -231,8 +242,66 @@ class Stream:
         return out
 
     def finish(self) -> list[str]:
-        path = self._path(len(self.text))[::-1]
-        return [self.text[i:j] for i, j in zip(path[:-1], path[1:], strict=True)]
+        """The pieces left, when nothing more comes."""
+        out, end = [], len(self.text)
+        while end:
+            start = end - self.size[end]
+            out.append(self.text[start:end])
+            end = start
+        return out[::-1]
+
+
+class Stream:
+    """Ids of a text that comes in parts, committed as soon as they are certain."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.window, self.open, self.begun, self.last = codec, None, "", False, None
+
+    def push(self, part: str) -> list[int]:
+        c, out = self.codec, []
+        if part and not self.begun:
+            self.begun, part = True, BLANK + part if c.model.prefix else part
+        part = part.replace(" ", BLANK)
+        if self.open and part:  # the stretch that is open goes on, or ends here
+            goes_on = c.goes_on(self.open, part)
+            out += self._into(part[:goes_on])
+            part = part[goes_on:]
+        if part:
+            out += self._close()
+            whole = c.stretches(part)
+            if len(c.memo) > MEMO:
+                c.forget(MEMO // 2)
+            get, own = c.memo.get, c.stretch
+            out += chain.from_iterable([get(s) or own(s) for s in whole[:-1]])
+            self.open = whole[-1]
+        return self._known(out)
+
+    def finish(self) -> list[int]:
+        return self._known(self._close())
+
+    def _into(self, part: str) -> list[int]:
+        """Read more of the open stretch through its window."""
+        if not part:
+            return []
+        if self.window is None:
+            self.window, part = Window(self.codec.model), self.open + part
+        self.open = self.open[-1:] + part[-1:] if BLANK in part[-1:] else part[-1:]
+        return [*chain.from_iterable(map(self.codec.model.id_of, self.window.push(part)))]
+
+    def _close(self) -> list[int]:
+        window, text = self.window, self.open
+        self.window, self.open = None, ""
+        if window is None:
+            return list(self.codec.memo.get(text) or self.codec.stretch(text)) if text else []
+        return [*chain.from_iterable(map(self.codec.model.id_of, window.finish()))]
+
+    def _known(self, ids: list[int]) -> list[int]:
+        """Without byte pieces, a run of unknown characters is one id."""
+        if self.codec.model.bytes or not ids:
+            return ids
+        unknown, before = self.codec.model.unknown, [self.last, *ids[:-1]]
+        self.last = ids[-1]
+        return [x for x, y in zip(ids, before, strict=True) if x != unknown or y != unknown]
 
 
 class Codec:
@@ -241,53 +310,68 @@ class Codec:
         self.memo: dict[str, tuple[int, ...]] = {}
         self.heads: dict[str, tuple[list, list, list]] = {}
         apart = re.escape(m.apart)
-        self.stretches = re.compile(f"{BLANK}+[^{BLANK}{apart}]*|[^{BLANK}{apart}]+" + (f"|[{apart}]" if apart else "")).findall if m.by_blank else lambda t: [t] if t else []
+        self.stretches = re.compile(f"{BLANK}+[^{BLANK}{apart}]*|[^{BLANK}{apart}]+" + (f"|[{apart}]" if apart else "")).findall if m.by_blank else lambda t: [t]
+        self.after_blank, self.after_letter = re.compile(f"{BLANK}*[^{BLANK}{apart}]*").match, re.compile(f"[^{BLANK}{apart}]*").match
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNUSED) else p.replace(BLANK, " ").encode() for p, _, t in m.pieces]
         self.raw[m.unknown] = " ⁇ ".encode()
 
+    def goes_on(self, stretch: str, part: str) -> int:
+        """How much of the part belongs to the stretch before it."""
+        if not self.model.by_blank:
+            return len(part)
+        if stretch[-1] in self.model.apart:
+            return 0
+        return (self.after_blank if stretch[-1] == BLANK else self.after_letter)(part).end()
+
     def forget(self, keep: int = KEPT) -> None:
         """Keep the stretches that came first, which are the frequent ones."""
         self.heads.clear()
         if len(self.memo) > keep:
             self.memo = dict(islice(self.memo.items(), keep))
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
-        m = self.model
-        if len(text) > MEMO_LENGTH:
-            s = Stream(m)
-            return tuple(chain.from_iterable(map(m.id_of, [*s.push(text), *s.finish()])))
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in m.inner]
-        if cuts:  # no piece lies across these
+    def stretch(self, text: str) -> tuple[int, ...]:
+        """The ids of a whole stretch; remembered if it is short."""
+        inner = self.model.inner
+        cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner]
+        if cuts:  # boundaries that no piece spans, too
+            get, own = self.memo.get, self.windowed
             parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-            ids = self.memo[text] = tuple(chain.from_iterable([self.memo.get(p) or self._stretch(p) for p in parts]))
+            ids = tuple(chain.from_iterable([get(p) or own(p) for p in parts]))
+            if len(text) <= MEMO_LENGTH:
+                self.memo[text] = ids
             return ids
-        size, last, total, end, back = [0], [0], [0.0], len(text), []
-        if end > HEAD:  # the lattice of a beginning doesn't depend on what follows
-            known = self.heads.get(text[:HEAD])
+        return self.windowed(text)
+
+    def windowed(self, text: str) -> tuple[int, ...]:
+        """The ids of what lies between two certain boundaries, by its window. The lattice of its beginning may be known."""
+        m = self.model
+        if HEAD < len(text) <= MEMO_LENGTH:
+            head = text[:HEAD]
+            known = self.heads.get(head)
             if known is None:
-                m.extend(text[:HEAD], size, last, total, True)
+                window = Window(m)
+                window.push(head)
                 if len(self.heads) > HEADS:
                     self.heads.clear()
-                known = self.heads[text[:HEAD]] = (size, last, total)
-            size, last, total = known[0][:], known[1][:], known[2][:]
-        m.extend(text, size, last, total, True)
-        while end:
-            back.append(m.id_of(m.names[last[end]]))
-            end -= size[end]
-        ids = self.memo[text] = tuple(chain.from_iterable(reversed(back)))
+                known = self.heads[head] = (window.size, window.last, window.total)
+            window = Window(m, (head, known[0][:], known[1][:], known[2][:]))
+            pieces = window.push(text[HEAD:])
+        else:
+            window = Window(m)
+            pieces = window.push(text)
+        pieces += window.finish()
+        get = m.ids.get
+        ids = tuple(map(get, pieces))
+        if None in ids:
+            ids = tuple(chain.from_iterable(map(m.id_of, pieces)))
+        if len(text) <= MEMO_LENGTH:
+            self.memo[text] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = (BLANK if self.model.prefix else "") + text.replace(" ", BLANK)
-        if len(self.memo) > MEMO:
-            self.forget(MEMO // 2)
-        get, own = self.memo.get, self._stretch
-        ids = list(chain.from_iterable([get(s) or own(s) for s in self.stretches(text)]))
-        if not self.model.bytes:  # a run of unknown characters is one id
-            ids = [x for i, x in enumerate(ids) if x != self.model.unknown or not i or ids[i - 1] != x]
-        return ids
+        stream = Stream(self)
+        ids = stream.push(text)
+        return ids + stream.finish()
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -325,6 +409,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
                     "round_trip": back, "ids": [None if x is None else np.array(x, np.int32) for x in ids],
                 })
         codec.forget()
+        C.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, n_tokens long, n_chars long, round_trip boolean, ids array<int>")

@@ -27,9 +27,9 @@ def test_codec_matches_the_library(spark):
     assert S.encoded(docs.limit(0), model).count() == 0
 
 
-def test_stream_is_bounded_and_unigram_is_best():
+def test_window_is_bounded_and_unigram_is_best():
     m = S.Model(S.read_model())
-    s = S.Stream(m)
+    s = S.Window(m)
     pieces = [*s.push("internationalisation" * 2000), *s.finish()]
     assert "".join(pieces) == "internationalisation" * 2000 and s.widest < 400
     m.kind, rnd = S.UNIGRAM, random.Random(0)
@@ -38,11 +38,39 @@ def test_stream_is_bounded_and_unigram_is_best():
         best = {0: (0.0, ())}
         for j in range(1, len(t) + 1):
             best[j] = max((best[i][0] + m.score[t[i:j]], (*best[i][1], t[i:j])) for i in range(j) if t[i:j] in m.score and m.code.get(t[i:j]))
-        u = S.Stream(m)
+        u = S.Window(m)
         got = [*u.push(t), *u.finish()]
         assert abs(sum(m.score[p] for p in got) - best[len(t)][0]) < 1e-6
 
 
+def test_stream_commits_in_parts():
+    """The ids of a text are the same however it is cut, and most are out before it ends; nothing but the window is held."""
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=S.MODEL)
+    rnd, codec = random.Random(1), S.Codec(S.read_model())
+    texts = [t for t in TEXTS if t] + ["中文字符没有空格" * 300, "a\n\nb \t c  d", "internationalisation" * 50 + "  \n" + " x" * 40]
+    for t in texts:
+        for size in (1, 2, 7, 1000):
+            if size < 7 and len(t) > 5000:
+                continue
+            s, out, i = S.Stream(codec), [], 0
+            while i < len(t):
+                n = rnd.randint(1, size)
+                out += s.push(t[i : i + n])
+                i += n
+                assert len(s.open) <= 1000 and (s.window is None or len(s.window.text) < 400)
+            assert len(out) > len(sp.encode(t)) - 120
+            assert out + s.finish() == sp.encode(t)
+    assert S.Codec(S.read_model()).encode("") == [] and len(codec.memo) <= S.MEMO
+
+
+def test_unknown_runs_are_one_id():
+    codec = S.Codec(S.read_model())
+    codec.model.bytes, codec.memo = {}, {}
+    s, u = S.Stream(codec), codec.model.unknown
+    out = [*s.push("a \U0001f600"), *s.push("\U0001f601\U0001f602"), *s.push("\U0001f603 b"), *s.finish()]
+    assert out.count(u) == 1
+
+
 @pytest.mark.parametrize("block", [1, 3, 64, 1 << 12])
 def test_token_counts(spark, block, monkeypatch):
     monkeypatch.setattr(K, "RUN", 4)
