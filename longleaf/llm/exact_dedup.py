@@ -11,7 +11,9 @@ join is the last step, so that Spark can split the partition of a very large gro
 
 Defined cases: a null text counts as empty, and empty texts are copies of each other; of rows with
 the same text and id, all count and all are kept where theirs is the smallest id; null ids
-are larger than any other; a group whose ids are all null keeps each row.
+are larger than any other; a group whose ids are all null keeps each row; an empty table gives an empty result;
+texts may be of any length, one above a trie's budget being a trie of its own; other columns, `owner` and `sha` among
+them, aren't read. A subtree's file is the task's own, rebuilt when the task runs again.
 """
 
 from __future__ import annotations

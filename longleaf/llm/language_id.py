@@ -10,7 +10,8 @@ counted ones, from a histogram, so every text is scored once and compared afterw
 
 Defined cases: a null, empty or letterless text is `und` with score 0 and not accepted; ties go
 to the language that sorts first; rows that repeat get the same answer each; with no labelled
-row at all, every text is `und`; other columns are never read.
+row at all, every text is `und`; an empty table gives an empty result; texts and tokens may be of any length; other
+columns, `found` and `accepted` among them, are never read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ is the only one that the next level refines. Everything is DataFrame expressions
 Defined cases: a null text has no words; sources sort by code point, null last; a document
 without words is taken with 0 words; rows with the same id (or, where the id is null, the same text)
 share a hash and are taken together; the document in which the budget ends is taken where that comes
-nearer to the target; an empty table gives an empty result.
+nearer to the target; an empty table gives an empty result; texts may be of any length, all of whose words count; other
+columns, `its_source` and `copies` among them, come along in the stage and aren't read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ tokens wherever that falls) and counts them back; a block lists the documents th
 
 Defined cases: a null or empty text has no tokens; tokens after a file's last separator are a document that was
 never closed and is reported as such by `scan`, not counted as a document; blocks may hold no separator, one,
-or many; rows that repeat are counted alike; other columns aren't read.
+or many; rows that repeat are counted alike; an empty table gives an empty result; texts may be of any length; other columns,
+`tokens` and `block` among them, aren't read. A vocabulary whose ids don't fit the width is an error.
 """
 
 from __future__ import annotations
@@ -111,6 +112,8 @@ def tokenizer(ranks: bytes):
     if hash(ranks) not in kept:
         kept.clear()
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+        if max(table.values(), default=0) > np.iinfo(WIDTH).max or SEPARATOR in table.values():
+            raise ValueError(f"ids must fit {WIDTH} and leave {SEPARATOR} free")
         kept[hash(ranks)] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     return kept[hash(ranks)]
 
