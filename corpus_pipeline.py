@@ -1,4 +1,9 @@
-"""The corpus pipeline: raw documents to token ids, stage by stage."""
+"""The corpus pipeline: raw documents to token ids, stage by stage.
+
+Defined cases: documents without text or letters go with the first stage; rows that repeat count once; documents with a null
+id pass all stages, near copies of them too; an empty table, and one whose rows all go, gives no rows; texts may be of any
+length; other columns come along up to the last stage, which returns encodings.
+"""
 
 from __future__ import annotations
 
