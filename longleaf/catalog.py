@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 from longleaf.operators.packing import pack
-from longleaf.plans import documents, estimates, events, glossary, quality, scalars, store  # noqa: F401
+from longleaf.plans import documents, estimates, events, glossary, ledger, quality, scalars, segments, store  # noqa: F401
 from longleaf.registry import QUERIES, SQL, query, read  # noqa: F401
 from longleaf.registry import TOKENS as _TOKENS
 from longleaf.registry import WORDS as _WORDS
@@ -108,17 +108,6 @@ def apportion_tokens(spark, d):
     return rows.select("l_orderkey", "l_linenumber", F.when(F.col("k") == F.col("n"), left).otherwise(F.col("part")).cast("long").alias("share"))
 
 
-@query("""SELECT o_orderkey AS job, o_orderstatus AS status, count(l_linenumber) AS segments, count(CASE WHEN l_linenumber % 4 > 1 THEN 1 END) AS retried, CAST(coalesce(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 11 END) FILTER (WHERE l_linenumber IS NOT NULL), 0) AS BIGINT) AS tokens
-FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")
-def job_summary(spark, d):
-    """Counts and tokens of each job: what the ledger says of a segment goes before its own columns."""
-    items = read(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("segments"), F.count_if(F.col("l_linenumber") % 4 > 1).alias("retried"), F.sum(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).otherwise(11)).alias("tokens"))
-    jobs = read(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return jobs.select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status"), zero("segments"), zero("retried"), zero("tokens"))
-
-
 @query("SELECT l_orderkey, max(l_linenumber) AS last_attempt, count(DISTINCT l_returnflag) AS outcomes, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem GROUP BY l_orderkey")
 def attempt_ledger_summary(spark, d):
     return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last_attempt"), F.count_distinct("l_returnflag").alias("outcomes"), F.sum("l_quantity").cast("long").alias("tokens"))
@@ -163,12 +152,6 @@ def run_state_final(spark, d):
     return now.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("event_id").alias("last_event"))
 
 
-@query("SELECT sha256(text) AS key, max(doc_id) AS best, count(*) AS candidates FROM documents WHERE text IS NOT NULL GROUP BY 1")
-def cache_lookup_best(spark, d):
-    rows = read(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("key"))
-    return rows.groupBy("key").agg(F.max("doc_id").alias("best"), F.count("*").alias("candidates"))
-
-
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def pending_segments(spark, d):
     return read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
@@ -192,13 +175,6 @@ def distinct_status_outside(spark, d):
     return read(spark, d, "orders").filter(~F.col("o_orderstatus").isin("F", "O")).select(F.col("o_orderstatus").alias("status")).distinct()
 
 
-@query("""SELECT lower(p_name) AS source, arg_max(p_brand, {'p': 3 - p_size % 3, 's': p_partkey}) AS target, max(3 - p_size % 3) AS priority FROM part GROUP BY 1""")
-def merge_scope_terms(spark, d):
-    """One row a term: the narrowest scope wins, and among its rows the later one."""
-    p = read(spark, d, "part").withColumn("priority", 3 - F.col("p_size") % 3)
-    return p.groupBy(F.lower("p_name").alias("source")).agg(F.max_by("p_brand", F.struct("priority", "p_partkey")).alias("target"), F.max("priority").alias("priority"))
-
-
 @query(rf"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{T.CAPITALISED}')) AS term FROM documents) GROUP BY term HAVING count(*) >= 5""")
 def candidate_capitalized(spark, d):
     rows = read(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.CAPITALISED), 0)).alias("term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from longleaf.functions.text import words
+from longleaf.functions.text import BLANKS
 
 #: Phrases of stored errors and the kind that each names, in order of precedence; fixed values.
 FAILURES = (
@@ -43,14 +43,7 @@ def commentary(text: Column) -> Column:
 def repetition(text: Column) -> Column:
     """Whether the same word stands four times in a row, ASCII case and punctuation around it aside.
 
-    One fold over the words: a lambda that indexed the array would compute all of it for every word.
+    Patterns alone, which stay in compiled code: punctuation at the edges of words goes, blanks become one, and a back-reference tells.
     """
-    bare = lambda x: F.lower(F.regexp_replace(x, "^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", ""))
-    w = F.filter(F.transform(words(text), bare), lambda x: x != "")
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(acc, x):
-        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
-
-    return F.aggregate(w, start, step, lambda acc: acc["most"] >= 4)
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?<![^{BLANKS}])[^a-zA-Z0-9{BLANKS}]++|[^a-zA-Z0-9{BLANKS}]++(?![^{BLANKS}])", "")
+    return F.lower(F.regexp_replace(bare, f"[{BLANKS}]+", " ")).rlike("(?<![^ ])([^ ]++)(?: \\1){3}(?![^ ])")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Ranges of scripts that are written without blanks between words; fixed values.
 UNSPACED = r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{AC00}-\x{D7A3}\x{D7B0}-\x{D7FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{32FFF}]"
+#: White space of Unicode, spelt out so that all engines read it alike; fixed values.
+BLANKS = r"\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{BLANKS}]"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*%?"
 LINK = r"https?://[^\s<>\x22]+"
 MARKER = r"</?m[0-9]+/?>|<r[0-9]+/>|</(m|keep)>|<(m|keep|ref) [^>]*id=[^>]*>"
@@ -28,7 +31,7 @@ def script_class(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
 def head_words(text: Column, n: int) -> Column:
@@ -55,13 +58,16 @@ def occurrences(text: Column, pattern: str) -> Column:
 
 def space_delimited(text: Column, least: float) -> Column:
     """Whether blanks are at least this share of the letters; a text without letters counts as spaced."""
-    letters, blanks = occurrences(text, r"\p{L}"), occurrences(text, r"\s")
+    letters, blanks = occurrences(text, r"\p{L}"), occurrences(text, SPACE)
     return (letters == 0) | (blanks / F.greatest(letters, F.lit(1)) >= least)
 
 
 def marker_ids(text: Column) -> Column:
-    """Ids of opening and empty numbered markers, in order and with repeats."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"<[mr][0-9]+/?>"), 0), lambda x: F.regexp_replace(x, "[</>]", ""))
+    """Ids of opening and empty markers, in order and with repeats; the older forms name theirs in an attribute."""
+    quoted = r"^(?:(?!id=).)*id=([\x22'])(.*?)\1"
+    found = F.regexp_extract_all(text, F.lit(r"<m[0-9]+/?>|<r[0-9]+/>|<(?:m|keep) [^>]*>|<ref [^>]*/>"), 0)
+    found = F.filter(found, lambda x: ~F.contains(x, F.lit(" ")) | x.rlike(quoted))
+    return F.transform(found, lambda x: F.when(F.contains(x, F.lit(" ")), F.regexp_extract(x, quoted, 2)).otherwise(F.regexp_replace(x, "[</>]", "")))
 
 
 def first_kind(value: Column, kinds: tuple[tuple[str, str], ...]) -> Column:

@@ -4,12 +4,26 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 def mapped(f: Callable, kind: str) -> Callable:
-    """A function of columns that gives f of each row; rows with a null among them give null."""
+    """A function of columns that gives f of each row; rows with a null among them give null, or a struct of nulls."""
+
+    def rows(columns: tuple) -> list:
+        return [None if any(x is None for x in row) else f(*row) for row in zip(*columns, strict=True)]
 
     def each(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*columns, strict=True)], dtype=object)
+        return pd.Series(rows(columns), dtype=object)
+
+    def column(*columns):
+        if not kind.startswith("struct<"):
+            return F.pandas_udf(each, kind)(*columns)
+        names = DataType.fromDDL(kind).names
+
+        def structs(*columns: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([r or {} for r in rows(columns)], columns=names)
+
+        return F.pandas_udf(structs, kind)(*columns)
 
-    return lambda *columns: F.pandas_udf(each, kind)(*columns)
+    return column

@@ -30,3 +30,27 @@ def pack(rows: DataFrame, group: str, order: str, cost: str, most: int, most_ite
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(fold, f"{kinds}, segment long")
+
+
+def segmented(rows: DataFrame, group: str, order: str, most: int, glued: int) -> DataFrame:
+    """rows (group, order, kind, tokens, …) with `segment`: like `pack`, but a block of up to `glued` tokens stays with the heading before it.
+
+    Blocks count at least one token.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, used, before, segment = None, 0, None, 0
+        for f in frames:
+            out = []
+            for g, kind, tokens in zip(f[group], f["kind"], f["tokens"], strict=True):
+                cost = max(tokens, 1)
+                if g != last:
+                    last, used, segment = g, 0, 0
+                elif used + cost > most and not (before == "heading" and tokens <= glued):
+                    used, segment = 0, segment + 1
+                used, before = used + cost, kind
+                out.append(segment)
+            yield f.assign(segment=out)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(fold, f"{kinds}, segment long")

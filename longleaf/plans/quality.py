@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longleaf.functions import findings
 from longleaf.functions import text as T
+from longleaf.functions.udf import mapped
 from longleaf.registry import query, read
 
 #: When a text counts as a copy of its source, and bounds of lengths; fixed values.
@@ -17,7 +21,7 @@ _UNIT = r"[\p{L}\p{N}'']+"
 
 def pairs(spark, d) -> DataFrame:
     """Documents as pairs: a third unchanged, a third without each 15th word, a third without each second."""
-    source = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    source = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), T.SPACE + "+", " "))
     rows = read(spark, d, "documents").select("doc_id", source.alias("source"))
     w = F.split("source", " ")
     without = lambda n: F.array_join(F.filter(w, lambda x, i: (i + 1) % n != 0), " ")
@@ -29,19 +33,25 @@ _PAIRS = r"""p AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN source WHE
  FROM (SELECT doc_id, source, string_split(source, ' ') AS w FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS source FROM documents)))"""
 
 
+def _shared(source: str, target: str) -> dict:
+    """Words of a source, and how many of them the target has too, each as often as it stands there."""
+    a, b = (Counter(regex.findall(r"[\p{L}\p{N}']+", t)) for t in (source, target))
+    return {"units": sum(a.values()), "overlap": sum((a & b).values())}
+
+
+shared_words = mapped(_shared, "struct<units: long, overlap: long>")
+
+
 def source_copies(rows: DataFrame, key: str = "doc_id", source: str = "source", target: str = "target") -> DataFrame:
     """(key, units, overlap, copied) for each pair: whether the target is its source, or keeps nearly all its words.
 
-    The overlap is of bags: words are counted a pair at a time and the lesser counts summed, so nothing
-    compares a word with each other one. Pairs too short to tell are copies only when equal.
+    The overlap is of bags and a fact of one row, so nothing is shuffled. Pairs too short to tell are copies only when equal.
     """
-    units = lambda c, s, t: rows.select(key, F.explode(F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}']+"), 0), lambda x: F.lower(x))).alias("w"), F.lit(s).alias("s"), F.lit(t).alias("t"))
-    counts = units(source, 1, 0).unionAll(units(target, 0, 1)).groupBy(key, "w").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    bags = counts.groupBy(F.col(key).alias("bag")).agg(F.sum("s").alias("units"), F.sum(F.least("s", "t")).alias("overlap"))
-    facts = rows.select(key, F.length(source).alias("chars"), (F.lower(source) == F.lower(target)).alias("same"), F.col(source).rlike(r"\p{L}").alias("prose"))
-    out = facts.join(bags, F.col(key) == F.col("bag"), "left").fillna(0, ["units", "overlap"])
-    near = (F.col("chars") >= COPY_CHARS) & (F.col("units") >= COPY_WORDS) & (F.col("overlap") >= COPY_WORDS) & (F.col("overlap") >= COPY_SHARE * F.col("units"))
-    return out.select(key, "units", "overlap", (F.col("prose") & (F.col("same") | near)).alias("copied"))
+    out = rows.select(key, source, target, shared_words(F.lower(source), F.lower(target)).alias("bag"))
+    units, overlap = F.col("bag.units"), F.col("bag.overlap")
+    near = (F.length(source) >= COPY_CHARS) & (units >= COPY_WORDS) & (overlap >= COPY_WORDS) & (overlap >= COPY_SHARE * units)
+    copied = F.col(source).rlike(r"\p{L}") & ((F.lower(source) == F.lower(target)) | near)
+    return out.select(key, units.alias("units"), overlap.alias("overlap"), copied.alias("copied"))
 
 
 @query(rf"""WITH {_PAIRS}, u AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(source, '{_UNIT}'), lambda x: lower(x))) AS w, 1 AS s, 0 AS t FROM p UNION ALL SELECT doc_id, unnest(list_transform(regexp_extract_all(target, '{_UNIT}'), lambda x: lower(x))), 0, 1 FROM p),

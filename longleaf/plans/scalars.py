@@ -58,9 +58,11 @@ _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{k}'" for k
 k AS (SELECT doc_id, {_KIND_SQL} AS kind FROM (SELECT doc_id, regexp_replace(w, '^[(\[\x22'']+|[)\],;:.!?\x22'']+$', '', 'g') AS v FROM t))
 SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k WHERE kind IS NOT NULL GROUP BY kind""")
 def protected_span_kinds(spark, d):
-    """Words that a translation must keep, by the first kind that they fit."""
+    """Words that a translation must keep, by the first kind that they fit. Only words with a sign of one are looked at."""
+    telling = f"(?<![^{T.BLANKS}])(?=[^{T.BLANKS}]*?(?:[0-9@#]|://|[.][a-z]))[^{T.BLANKS}]++"
+    words = F.regexp_extract_all("text", F.lit(telling), 0)
     v = F.regexp_replace(F.col("w"), r"^[(\[\x22']+|[)\],;:.!?\x22']+$", "")
-    rows = read(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w")).select("doc_id", v.alias("v"))
+    rows = read(spark, d, "documents").select("doc_id", F.explode(words).alias("w")).select("doc_id", v.alias("v"))
     per = rows.select("doc_id", T.first_kind(F.col("v"), _KINDS).alias("kind")).filter("kind is not null").groupBy("kind", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 

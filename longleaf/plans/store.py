@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import findings
+from longleaf.functions import text as T
 from longleaf.registry import query, read
 
 #: Status of a segment by the line's flags, and sets of status; fixed values.
@@ -93,15 +94,17 @@ def prune_stale_findings(spark, d):
     return rows.join(stale.withColumnRenamed("doc_id", "stale_id"), (F.col("doc_id") == F.col("stale_id")) & (F.col("quality") == 0), "left_anti")
 
 
-@query("""SELECT regexp_replace(regexp_replace(lower(trim(role)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS kind, lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 12)) AS excerpt, count(*) AS occurrences, count(DISTINCT conv_id) AS segments, min(turn) AS first_turn
-FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2""")
+@query(r"""SELECT regexp_replace(regexp_replace(lower(trim(role)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS kind, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN NULL ELSE sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) END AS excerpt, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN conv_id || ':' || turn END AS alone, count(*) AS occurrences, count(DISTINCT conv_id) AS segments, min(turn) AS first_turn
+FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2, 3""")
 def issue_collapse(spark, d):
     """Issues of the same kind and excerpt as one, with how often and in how many segments they occur."""
     kind = F.regexp_replace(F.regexp_replace(F.lower(F.trim("role")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    excerpt = F.lower(F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(12)))
-    rows = read(spark, d, "conversations").filter("role is not null and text is not null").select(kind.alias("kind"), excerpt.alias("excerpt"), "conv_id", "turn")
-    per = rows.groupBy("kind", "excerpt", "conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
-    return per.groupBy("kind", "excerpt").agg(F.sum("n").alias("occurrences"), F.count("*").alias("segments"), F.min("first").alias("first_turn"))
+    text = F.trim(F.regexp_replace("text", T.SPACE + "+", " "))
+    # issues meet by a digest of their whole text; one without text meets no other
+    excerpt, alone = F.when(text != "", F.sha2(F.lower(text), 256)), F.when(text == "", F.concat("conv_id", F.lit(":"), "turn"))
+    rows = read(spark, d, "conversations").filter("role is not null and text is not null").select(kind.alias("kind"), excerpt.alias("excerpt"), alone.alias("alone"), "conv_id", "turn")
+    per = rows.groupBy("kind", "excerpt", "alone", "conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    return per.groupBy("kind", "excerpt", "alone").agg(F.sum("n").alias("occurrences"), F.count("*").alias("segments"), F.min("first").alias("first_turn"))
 
 
 @query("""SELECT o.o_orderkey AS job, o.o_orderstatus AS status, (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS items, date_diff('day', TIMESTAMP '1990-01-01', o.o_orderdate) AS age FROM orders o WHERE o_orderstatus IN ('F', 'P')""")

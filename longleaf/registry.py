@@ -18,8 +18,8 @@ def query(sql: str | None):
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
+        if sql is not None:  # white space is that of Unicode, which the other engine's pattern doesn't mean
+            SQL[f.__name__] = sql.replace(r"'\s+'", f"'{T.SPACE}+'").replace(r"'\s'", f"'{T.SPACE}'")
         return f
 
     return add
