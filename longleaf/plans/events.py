@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longleaf.registry import query, read
+from longleaf.streaming.control import rates
 from longleaf.streaming.run_state import run_state
 
 
@@ -49,3 +50,21 @@ FROM events e JOIN b ON e.user_id = b.user_id WHERE event_id >= coalesce(since,
 def stream_run_state(spark, d):
     """The state of every job's latest run, from the log read as a stream with state per job."""
     return run_state(spark, d)
+
+
+#: Of the query: requests at once to begin with, answers that are looked back on, latency that they may have.
+FIRST, BACK, SLOW = 8, 4, 60
+_OUTCOME = "CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'timeout' WHEN 'purchase' THEN 'invalid_json' ELSE 'ok' END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS job, event_id, {_OUTCOME} AS outcome, CAST(floor(coalesce(value, 0)) AS BIGINT) AS latency, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r AS (SELECT job, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, {FIRST} AS now, CAST(NULL AS BIGINT) AS limited, CAST(NULL AS BIGINT) AS generic, CAST(NULL AS BIGINT) AS grown, CAST([] AS STRUCT(ok BOOLEAN, latency BIGINT)[]) AS seen FROM (SELECT DISTINCT job FROM e)
+ UNION ALL SELECT job, k, event_id, CASE WHEN cl THEN greatest(now // 2, 1) WHEN cg THEN greatest(CAST(floor(now * 0.75) AS INT), 1) WHEN g THEN least(now + 1, {4 * FIRST}) ELSE now END, CASE WHEN cl THEN ms ELSE limited END, CASE WHEN cg THEN ms ELSE generic END, CASE WHEN g THEN ms ELSE grown END, seen
+ FROM (SELECT *, outcome = 'rate_limited' AND (limited IS NULL OR ms - limited >= 250) AS cl, outcome = 'timeout' AND (generic IS NULL OR ms - generic >= 2000) AS cg,
+  outcome = 'ok' AND (grown IS NULL OR ms - grown >= 2000) AND len(seen) = {BACK} AND len(good) = {BACK} AND good[{BACK}] <= {SLOW} AS g
+  FROM (SELECT *, list_sort(list_transform(list_filter(seen, lambda x: x.ok), lambda x: x.latency)) AS good FROM (SELECT e.job, e.k, e.event_id, e.outcome, e.ms, r.now, r.limited, r.generic, r.grown, list_append(r.seen, {{'ok': e.outcome = 'ok', 'latency': e.latency}})[-{BACK}:] AS seen FROM r JOIN e ON e.job = r.job AND e.k = r.k + 1))))
+SELECT job, event_id, now AS at_once FROM r WHERE k > 0""")
+def rate_control(spark, d):
+    """How many requests at once a job may have after each answer."""
+    rows = read(spark, d, "events").select(F.col("user_id").alias("job"), "event_id", F.expr(_OUTCOME).alias("outcome"), F.floor(F.coalesce("value", F.lit(0))).cast("long").alias("latency"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return rates(rows, FIRST, BACK, SLOW)

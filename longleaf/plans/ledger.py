@@ -260,7 +260,7 @@ MANAGED = "^chapter-[0-9]+-part-[0-9]+-[0-9a-fA-F]{16}[.](mp3|wav|ogg|opus|flac|
 WHEN f.name <> 'manifest.json' AND (ends_with(lower(f.name), '.part.tmp') OR ends_with(lower(f.name), '.replace.bak') OR (starts_with(f.name, '.') AND contains(lower(f.name), '.part.')) OR starts_with(lower(f.name), '.normalized-chapter-') OR ends_with(lower(f.name), '.concat.txt') OR lower(f.name) = 'chapters.ffmeta.txt') THEN 'debris' ELSE 'kept' END AS name_kind FROM f) GROUP BY name_kind""")
 def stale_files(spark, d):
     """Files of a run: pieces that are planned, those that no plan names any more, what a crash left behind, and others."""
-    name = F.expr(_NAMES[1:].removeprefix("SELECT l_orderkey AS job, ").split(" AS name FROM")[0])
+    name = F.expr(_NAMES[1:].removeprefix("SELECT l_orderkey AS job, ").split(" AS name FROM")[0].replace("sha256(CAST(l_partkey AS VARCHAR))", "sha2(CAST(l_partkey AS STRING), 256)"))
     f = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), name.alias("name"))
     planned = f.filter("job % 2 = 0").distinct().withColumnsRenamed({"job": "j", "name": "m"}).withColumn("planned", F.lit(True))
     low, n = F.lower("name"), F.col("name")
