@@ -57,7 +57,7 @@ FIRST, BACK, SLOW = 8, 4, 60
 _OUTCOME = "CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'timeout' WHEN 'purchase' THEN 'invalid_json' ELSE 'ok' END"
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id AS job, event_id, {_OUTCOME} AS outcome, CAST(floor(coalesce(value, 0)) AS BIGINT) AS latency, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS job, event_id, {_OUTCOME} AS outcome, CAST(floor(coalesce(value, 0)) AS BIGINT) AS latency, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 r AS (SELECT job, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, {FIRST} AS now, CAST(NULL AS BIGINT) AS limited, CAST(NULL AS BIGINT) AS generic, CAST(NULL AS BIGINT) AS grown, CAST([] AS STRUCT(ok BOOLEAN, latency BIGINT)[]) AS seen FROM (SELECT DISTINCT job FROM e)
  UNION ALL SELECT job, k, event_id, CASE WHEN cl THEN greatest(now // 2, 1) WHEN cg THEN greatest(CAST(floor(now * 0.75) AS INT), 1) WHEN g THEN least(now + 1, {4 * FIRST}) ELSE now END, CASE WHEN cl THEN ms ELSE limited END, CASE WHEN cg THEN ms ELSE generic END, CASE WHEN g THEN ms ELSE grown END, seen
  FROM (SELECT *, outcome = 'rate_limited' AND (limited IS NULL OR ms - limited >= 250) AS cl, outcome = 'timeout' AND (generic IS NULL OR ms - generic >= 2000) AS cg,
