@@ -4,7 +4,7 @@ The lexicon is learnt from labelled documents: words that lie in far more toxic
 ones show. Toxic documents in which a word has the same neighbours count once, which
 keeps copies of one toxic document from turning its words into terms. Terms lie in a trie, which a
 Levenshtein automaton for each word walks along, so that misspelt terms are found with their
-distance; deletion variants rule most words out before. A window around each hit tells quotation
+distance; the letters and neighbours of letters that each edit can change rule most words out before. A window around each hit tells quotation
 (quotation marks, words of reporting) from abuse (words of address) and weighs the hit. A document's
 hits give its evidence, which a logistic curve, fitted on documents whose own words are left
 out of their weights, turns into a score.
@@ -46,21 +46,26 @@ REPORTING = frozenset("said says quote quoted quotes wrote writes called word te
 ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr tu toi ton ta vous votre tú te tus usted ustedes".split())
 MARKS = "\"“”„«»"
 STEM = re.compile(r"^[\W_]+|[\W_]+$")
-#: Tokens that a task remembers, and letters of a token up to which it does; letters of a term up to which variants stand for it.
-_MEMO, _LONG, _VARIED = 300_000, 64, 24
+#: Tokens that a task remembers, and letters of a token up to which it does; texts whose new tokens are weighed together, and words of one look.
+_MEMO, _LONG, _TEXTS, _WORDS = 200_000, 64, 64, 2000
 
 
 def plain(token: str) -> str:
     return STEM.sub("", token)
 
 
-def deletions(word: str, distance: int = DISTANCE) -> set[str]:
-    """The word and what is left of it after up to `distance` deletions: words within that distance share one."""
-    out, last = {word}, {word}
-    for _ in range(distance):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out |= last
-    return out
+def signs(words: list[str]) -> np.ndarray:
+    """A row for each word: a bit for each letter, and 128 for each pair of neighbours, the word's edges included.
+
+    An edit takes one letter at most from a word and brings one; it takes three pairs at most and brings three (a swap does).
+    """
+    codes = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    first = np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
+    one = np.uint64(1)
+    letters = np.where(codes == 0, np.uint64(0), one << (C.mix64(codes) >> np.uint64(58)))
+    pair = C.mix64(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) >> np.uint64(57)
+    bits = [np.where(pair >> np.uint64(6) == half, one << (pair & np.uint64(63)), np.uint64(0)) for half in (0, 1)]
+    return np.stack([np.bitwise_or.reduceat(letters, first), *(np.bitwise_or.reduceat(x, first - 1) for x in bits)], 1)
 
 
 class Automaton:
@@ -156,44 +161,78 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.by = []  # by edits and length: trie, variants, least and most letters of a misspelt term
-        for d, long in sorted({(reach(w), len(w) > _VARIED) for w in lexicon.weight if reach(w)}):
-            terms = [w for w in lexicon.weight if (reach(w), len(w) > _VARIED) == (d, long)]
-            variants = None if long else {v for w in terms for v in deletions(w, d)}
-            self.by.append((d, Trie(terms), variants, min(map(len, terms)) - d, max(map(len, terms)) + d))
+        self.by = []  # by edits: the terms that may be misspelt, their signs and letters
+        for d in sorted({reach(w) for w in lexicon.weight} - {0}):
+            terms = sorted(w for w in lexicon.weight if reach(w) == d)
+            self.by.append((d, terms, signs(terms), np.array(list(map(len, terms)))))
         self.memo: dict[str, float] = {}
 
+    def fits(self, words: list[str]) -> Iterator[tuple[int, str, list[str]]]:
+        """(edits, word, terms) of words and those terms that may be within the edits: no pair that is gets left out."""
+        for i in range(0, len(words), _WORDS):
+            part = words[i : i + _WORDS]
+            own, lens = signs(part), np.array(list(map(len, part)))
+            for d, terms, theirs, sizes in self.by:
+                w, t = np.nonzero(np.abs(lens[:, None] - sizes) <= d)
+                for k in (0, 1):  # letters first, which most pairs fail
+                    more = lens[w] - sizes[t]
+                    x, y = own[w, 0], theirs[t, 0]
+                    lost, got = np.bitwise_count(y & ~x).astype(int), np.bitwise_count(x & ~y).astype(int)
+                    near = (lost <= d - np.maximum(more, 0)) & (got <= d - np.maximum(-more, 0))
+                    if k:  # an insertion takes a pair and brings two, a deletion the reverse, a change two and two, a swap three and no letter
+                        rest = d - np.abs(more)
+                        swaps = np.minimum(rest, d - np.maximum(lost, got))
+                        x, y = own[w, 1:], theirs[t, 1:]
+                        near &= np.bitwise_count(y & ~x).sum(1, dtype=int) <= np.maximum(more, 0) + 2 * np.maximum(-more, 0) + 2 * rest + swaps
+                        near &= np.bitwise_count(x & ~y).sum(1, dtype=int) <= 2 * np.maximum(more, 0) + np.maximum(-more, 0) + 2 * rest + swaps
+                    w, t = w[near], t[near]
+                if len(w):
+                    cuts = np.flatnonzero(np.diff(w)) + 1
+                    for at, found in zip(w[np.r_[0, cuts]], np.split(t, cuts), strict=True):
+                        yield d, part[at], [terms[k] for k in found]
+
+    def nearest(self, words: list[str]) -> dict[str, tuple[int, str]]:
+        """(edits, term) of the words that are misspelt terms: the word's automaton walks along the trie of the terms that fit it."""
+        words = [w for w in words if w and w not in self.lexicon.innocent]
+        out: dict[str, list] = {}
+        for d, word, terms in self.fits(words):
+            if found := Trie(terms).within(Swapping(word, d)):
+                out.setdefault(word, []).extend(found)
+        return {w: min(found, key=lambda x: (x[0], -self.lexicon.weight[x[1]], x[1])) for w, found in out.items()}
+
     def near(self, word: str) -> tuple[int, str] | None:
-        """The nearest term that the word may be a misspelling of. A word longer than all terms and their edits is none."""
-        if word in self.lexicon.innocent:
-            return None
-        found = []
-        for d, trie, variants, least, most in self.by:
-            if least <= len(word) <= most and (variants is None or not variants.isdisjoint(deletions(word, d))):
-                found += trie.within(Swapping(word, d))
-        return min(found, key=lambda x: (x[0], -self.lexicon.weight[x[1]], x[1])) if found else None
+        return self.nearest([word]).get(word)
+
+    def weights(self, tokens: list[str]) -> dict[str, float]:
+        """Weights of tokens, which are looked at together; short ones are remembered."""
+        plains = {t: plain(t) for t in tokens}
+        exact = self.lexicon.weight
+        near = self.nearest(list({w for w in plains.values() if w not in exact}))
+        out = {t: exact[w] if w in exact else FUZZY_WEIGHT ** near[w][0] * exact[near[w][1]] if w in near else 0.0 for t, w in plains.items()}
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+        self.memo.update((t, w) for t, w in out.items() if len(t) <= _LONG)
+        return out
 
     def weigh(self, token: str) -> float:
-        word = plain(token)
-        weight = self.lexicon.weight.get(word)
-        if weight is None:
-            near = self.near(word)
-            weight = FUZZY_WEIGHT ** near[0] * self.lexicon.weight[near[1]] if near else 0.0
-        if len(token) <= _LONG:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            self.memo[token] = weight
-        return weight
+        return self.weights([token])[token]
 
     def hits(self, text: str | None) -> list[tuple[str, float]]:
         """(word, weight in its context) of each hit."""
-        tokens = text.lower().split() if text else []
-        get, weigh = self.memo.get, self.weigh
-        weights = [get(t) for t in tokens]
-        for i in [i for i, w in enumerate(weights) if w is None]:
-            known = get(tokens[i])
-            weights[i] = weigh(tokens[i]) if known is None else known
-        return [(plain(tokens[i]), w * context(tokens, i)) for i, w in enumerate(weights) if w]
+        return self.all_hits([text])[0]
+
+    def all_hits(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
+        out = []
+        for i in range(0, len(texts), _TEXTS):
+            split = [t.lower().split() if t else [] for t in texts[i : i + _TEXTS]]
+            known = self.memo
+            new = {t for tokens in split for t in tokens if t not in known}
+            if new:
+                old = {t: known[t] for tokens in split for t in tokens if t not in new}
+                known = old | self.weights(list(new))  # the memo may be cleared, and doesn't hold long tokens
+            for tokens in split:
+                out.append([(plain(tokens[k]), w * context(tokens, k)) for k, w in enumerate(map(known.__getitem__, tokens)) if w])
+        return out
 
 
 def context(tokens: list[str], at: int) -> float:
@@ -271,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     def near_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = lexicon.matcher()
         for f in frames:
-            yield pd.DataFrame({"word": pd.Series([w for w in f.word if w not in lexicon.weight and matcher.near(w)], dtype=object)})
+            yield pd.DataFrame({"word": pd.Series(list(matcher.nearest([w for w in f.word if w not in lexicon.weight])), dtype=object)})
 
     lexicon.innocent = frozenset(r.word for r in counts.filter("good > 0").select("word").mapInPandas(near_terms, "word string").collect())
 
@@ -279,8 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         matcher = lexicon.matcher()
         for f in frames:
             out = []
-            for text, toxic in zip(f.text, f.toxic, strict=True):
-                hits = matcher.hits(text)
+            for hits, toxic in zip(matcher.all_hits(list(f.text)), f.toxic, strict=True):
                 scale = lambda w, y=toxic: max(0.0, weight(w, y, 1 - y)) / lexicon.weight[w] if w in plus else 1.0
                 out.append((evidence([x * scale(w) for w, x in hits]), float(toxic)))
             yield pd.DataFrame(out, columns=["x", "y"])
@@ -311,7 +349,7 @@ def scored(lexicon: Lexicon, texts: Column) -> Column:
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = lexicon.matcher()
         for b in batches:
-            found = [matcher.hits(t) for t in b]
+            found = matcher.all_hits(list(b))
             x = np.array([evidence([w for _, w in h]) for h in found])
             yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(lexicon.slope * x + lexicon.offset, -700, 700))), "hits": [len(h) for h in found]})
 
