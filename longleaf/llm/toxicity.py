@@ -2,9 +2,9 @@
 
 The lexicon is learnt from labelled documents: words that lie in far more toxic documents than clean
 ones show. Toxic documents in which a word has the same neighbours count once, which
-keeps copies of one toxic document from turning its words into terms. Terms lie in a trie, which a
-Levenshtein automaton for each word walks along, so that misspelt terms are found with their
-distance; the letters and neighbours of letters that each edit can change rule most words out before. A window around each hit tells quotation
+keeps copies of one toxic document from turning its words into terms. Terms lie in a trie, which the
+Levenshtein automata of words walk along, many words at a time, so that misspelt terms are found with their
+distance; the letters and neighbours of letters that each edit can change rule most pairs out before. A window around each hit tells quotation
 (quotation marks, words of reporting) from abuse (words of address) and weighs the hit. A document's
 hits give its evidence, which a logistic curve, fitted on documents whose own words are left
 out of their weights, turns into a score.
@@ -46,26 +46,34 @@ REPORTING = frozenset("said says quote quoted quotes wrote writes called word te
 ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr tu toi ton ta vous votre tú te tus usted ustedes".split())
 MARKS = "\"“”„«»"
 STEM = re.compile(r"^[\W_]+|[\W_]+$")
-#: Tokens that a task remembers, and letters of a token up to which it does; texts whose new tokens are weighed together, and words of one look.
-_MEMO, _LONG, _TEXTS, _WORDS = 200_000, 64, 64, 2000
+#: Tokens that a task remembers, and letters of a token up to which it does; texts whose new tokens are weighed together.
+_MEMO, _LONG, _TEXTS = 200_000, 64, 64
+#: Pairs of words and terms, and distances of automata, that are held at a time.
+_PAIRS, _CELLS = 1 << 20, 1 << 20
 
 
 def plain(token: str) -> str:
     return STEM.sub("", token)
 
 
-def signs(words: list[str]) -> np.ndarray:
-    """A row for each word: a bit for each letter, and 128 for each pair of neighbours, the word's edges included.
+def signs(codes: np.ndarray) -> np.ndarray:
+    """For each row of letters, zeros after its end: a bit for each letter, and 128 for each pair of neighbours, the edges included.
 
     An edit takes one letter at most from a word and brings one; it takes three pairs at most and brings three (a swap does).
     """
-    codes = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    first = np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
-    one = np.uint64(1)
-    letters = np.where(codes == 0, np.uint64(0), one << (C.mix64(codes) >> np.uint64(58)))
-    pair = C.mix64(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) >> np.uint64(57)
-    bits = [np.where(pair >> np.uint64(6) == half, one << (pair & np.uint64(63)), np.uint64(0)) for half in (0, 1)]
-    return np.stack([np.bitwise_or.reduceat(letters, first), *(np.bitwise_or.reduceat(x, first - 1) for x in bits)], 1)
+    codes = np.pad(codes, ((0, 0), (1, 1))).astype(np.uint64)
+    none, one = np.uint64(0), np.uint64(1)
+    letters = np.where(codes == 0, none, one << (C.mix64(codes) >> np.uint64(58)))
+    left, right = codes[:, :-1], codes[:, 1:]
+    pair = C.mix64(left * np.uint64(0x9E3779B97F4A7C15) + right) >> np.uint64(57)
+    bit = np.where(left | right == 0, none, one << (pair & np.uint64(63)))
+    halves = [np.where(pair >> np.uint64(6) == half, bit, none) for half in (0, 1)]
+    return np.stack([np.bitwise_or.reduce(x, 1) for x in (letters, *halves)], 1)
+
+
+def letters_of(words: list[str], width: int) -> np.ndarray:
+    """A row of code points for each word, zeros after its end."""
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
 
 
 class Automaton:
@@ -145,6 +153,80 @@ class Trie:
         return sorted(out)
 
 
+class Shelf:
+    """The terms that words of one length may be, as a trie of sorted terms: a node is the first term that has its letters.
+
+    `near` is what `Trie.within` finds with a `Swapping` of each word, for many words at a time.
+    """
+
+    def __init__(self, terms: list[str], length: int):
+        self.terms = sorted(t for t in terms if abs(len(t) - length) <= reach(t))
+        self.length, self.sizes = length, np.array([len(t) for t in self.terms], np.int64)
+        self.most = np.array([reach(t) for t in self.terms], np.int64)
+        if self.terms:
+            self.codes = letters_of(self.terms, int(self.sizes.max()))
+            self.signs = signs(self.codes)
+            new = np.ones(self.codes.shape, bool)
+            new[1:] = np.logical_or.accumulate(self.codes[1:] != self.codes[:-1], 1)
+            self.node = np.maximum.accumulate(np.where(new, np.arange(len(self.terms))[:, None], 0), 0)
+
+    def near(self, words: list[str]) -> Iterator[tuple[str, int, str]]:
+        """(word, edits, term) of all words that are terms or misspelt ones."""
+        at = max(1, _PAIRS // max(len(self.terms), self.length))
+        for i in range(0, len(words) if self.terms else 0, at):
+            part = words[i : i + at]
+            own = letters_of(part, self.length)
+            w, t = self.fits(signs(own))
+            for k in range(0, len(w), most := max(1, _CELLS // (self.length + 1))):
+                for x, y, d in zip(*self.walk(own, w[k : k + most], t[k : k + most]), strict=True):
+                    yield part[x], int(d), self.terms[y]
+
+    def fits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and terms whose signs allow them to be within the edits: no pair that is gets left out."""
+        more, fewer = np.maximum(self.length - self.sizes, 0), np.maximum(self.sizes - self.length, 0)
+        lost, got = self.most - more, self.most - fewer
+        x, y = own[:, :1], self.signs[:, 0]
+        w, t = np.nonzero((np.bitwise_count(y & ~x) <= lost.astype(np.uint8)) & (np.bitwise_count(x & ~y) <= got.astype(np.uint8)))
+        # an insertion takes a pair and brings two, a deletion the reverse, a change two and two, a swap three and no letter
+        x, y, rest = own[w], self.signs[t], (self.most - more - fewer)[t]
+        gone, come = np.bitwise_count(y & ~x).astype(np.int64), np.bitwise_count(x & ~y).astype(np.int64)
+        edits = 2 * rest + np.minimum(rest, self.most[t] - np.maximum(gone[:, 0], come[:, 0]))
+        near = (gone[:, 1:].sum(1) <= (more + 2 * fewer)[t] + edits) & (come[:, 1:].sum(1) <= (2 * more + fewer)[t] + edits)
+        return w[near], t[near]
+
+    def walk(self, own: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, term, edits) of those pairs, sorted ones, that are within the edits: automata of the words go down the trie.
+
+        A state belongs to a word and a node, and so to all terms below: a row of distances and the one before.
+        """
+        columns = np.arange(self.length + 1)
+        own, at, out = own.astype(np.int64), np.zeros(len(w), np.int64), []
+        row = before = columns[None]
+        last = np.zeros(1, np.int64)
+        for k in range(self.codes.shape[1]):
+            node = self.node[t, k]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (node[1:] != node[:-1])
+            heads = np.flatnonzero(new)
+            up, x, letter = at[heads], own[w[heads]], self.codes[t[heads], k].astype(np.int64)
+            old = row[up]
+            after = np.minimum(old[:, :-1] + (x != letter[:, None]), old[:, 1:] + 1)
+            if k:
+                swaps = (x[:, 1:] == last[up][:, None]) & (x[:, :-1] == letter[:, None])
+                after[:, 1:] = np.where(swaps, np.minimum(after[:, 1:], before[up][:, :-2] + 1), after[:, 1:])
+            after = np.concatenate([old[:, :1] + 1, after], 1)
+            row, before, last = np.minimum.accumulate(after - columns, 1) + columns, old, letter
+            at = np.cumsum(new) - 1
+            most, size = self.most[t], self.sizes[t]
+            found = (size == k + 1) & (row[at, -1] <= most)
+            out.append((w[found], t[found], row[at, -1][found]))
+            alive = (size > k + 1) & ((row.min(1)[at] <= most) | (before.min(1)[at] < most))
+            w, t, at = w[alive], t[alive], at[alive]
+            if not len(w):
+                break
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (w, t, at)
+
+
 @dataclass
 class Lexicon:
     weight: dict[str, float] = field(default_factory=dict)
@@ -161,44 +243,23 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.by = []  # by edits: the terms that may be misspelt, their signs and letters
-        for d in sorted({reach(w) for w in lexicon.weight} - {0}):
-            terms = sorted(w for w in lexicon.weight if reach(w) == d)
-            self.by.append((d, terms, signs(terms), np.array(list(map(len, terms)))))
+        self.terms = [t for t in lexicon.weight if reach(t)]
+        self.lengths = {n for t in self.terms for n in range(len(t) - reach(t), len(t) + reach(t) + 1)}
+        self.shelves: dict[int, Shelf] = {}
         self.memo: dict[str, float] = {}
 
-    def fits(self, words: list[str]) -> Iterator[tuple[int, str, list[str]]]:
-        """(edits, word, terms) of words and those terms that may be within the edits: no pair that is gets left out."""
-        for i in range(0, len(words), _WORDS):
-            part = words[i : i + _WORDS]
-            own, lens = signs(part), np.array(list(map(len, part)))
-            for d, terms, theirs, sizes in self.by:
-                w, t = np.nonzero(np.abs(lens[:, None] - sizes) <= d)
-                for k in (0, 1):  # letters first, which most pairs fail
-                    more = lens[w] - sizes[t]
-                    x, y = own[w, 0], theirs[t, 0]
-                    lost, got = np.bitwise_count(y & ~x).astype(int), np.bitwise_count(x & ~y).astype(int)
-                    near = (lost <= d - np.maximum(more, 0)) & (got <= d - np.maximum(-more, 0))
-                    if k:  # an insertion takes a pair and brings two, a deletion the reverse, a change two and two, a swap three and no letter
-                        rest = d - np.abs(more)
-                        swaps = np.minimum(rest, d - np.maximum(lost, got))
-                        x, y = own[w, 1:], theirs[t, 1:]
-                        near &= np.bitwise_count(y & ~x).sum(1, dtype=int) <= np.maximum(more, 0) + 2 * np.maximum(-more, 0) + 2 * rest + swaps
-                        near &= np.bitwise_count(x & ~y).sum(1, dtype=int) <= 2 * np.maximum(more, 0) + np.maximum(-more, 0) + 2 * rest + swaps
-                    w, t = w[near], t[near]
-                if len(w):
-                    cuts = np.flatnonzero(np.diff(w)) + 1
-                    for at, found in zip(w[np.r_[0, cuts]], np.split(t, cuts), strict=True):
-                        yield d, part[at], [terms[k] for k in found]
-
     def nearest(self, words: list[str]) -> dict[str, tuple[int, str]]:
-        """(edits, term) of the words that are misspelt terms: the word's automaton walks along the trie of the terms that fit it."""
-        words = [w for w in words if w and w not in self.lexicon.innocent]
-        out: dict[str, list] = {}
-        for d, word, terms in self.fits(words):
-            if found := Trie(terms).within(Swapping(word, d)):
-                out.setdefault(word, []).extend(found)
-        return {w: min(found, key=lambda x: (x[0], -self.lexicon.weight[x[1]], x[1])) for w, found in out.items()}
+        """(edits, term) of the words that are misspelt terms."""
+        same, out = {}, {}
+        for w in words:
+            if len(w) in self.lengths and w and w not in self.lexicon.innocent:
+                same.setdefault(len(w), []).append(w)
+        for n, part in same.items():
+            if n not in self.shelves:
+                self.shelves[n] = Shelf(self.terms, n)
+            for w, d, term in self.shelves[n].near(part):
+                out.setdefault(w, []).append((d, -self.lexicon.weight[term], term))
+        return {w: (min(found)[0], min(found)[2]) for w, found in out.items()}
 
     def near(self, word: str) -> tuple[int, str] | None:
         return self.nearest([word]).get(word)
