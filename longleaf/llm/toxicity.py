@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,13 +47,13 @@ ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr tu to
 MARKS = "\"“”„«»"
 STEM = re.compile(r"^[\W_]+|[\W_]+$")
 #: Tokens that a task remembers, and letters of a token up to which it does; texts whose new tokens are weighed together.
-_MEMO, _LONG, _TEXTS = 200_000, 64, 64
+_MEMO, _LONG, _TEXTS = 200_000, 64, 256
 #: Pairs of words and terms, and distances of automata, that are held at a time.
 _PAIRS, _CELLS = 1 << 20, 1 << 20
 
 
 def plain(token: str) -> str:
-    return STEM.sub("", token)
+    return token if token.isalnum() else STEM.sub("", token)
 
 
 def signs(codes: np.ndarray) -> np.ndarray:
@@ -185,13 +185,13 @@ class Shelf:
         """Words and terms whose signs allow them to be within the edits: no pair that is gets left out."""
         more, fewer = np.maximum(self.length - self.sizes, 0), np.maximum(self.sizes - self.length, 0)
         lost, got = self.most - more, self.most - fewer
-        x, y = own[:, :1], self.signs[:, 0]
-        w, t = np.nonzero((np.bitwise_count(y & ~x) <= lost.astype(np.uint8)) & (np.bitwise_count(x & ~y) <= got.astype(np.uint8)))
+        w, t = np.nonzero(np.bitwise_count(own[:, :1] ^ self.signs[:, 0]) <= (lost + got).astype(np.uint8))
         # an insertion takes a pair and brings two, a deletion the reverse, a change two and two, a swap three and no letter
         x, y, rest = own[w], self.signs[t], (self.most - more - fewer)[t]
         gone, come = np.bitwise_count(y & ~x).astype(np.int64), np.bitwise_count(x & ~y).astype(np.int64)
         edits = 2 * rest + np.minimum(rest, self.most[t] - np.maximum(gone[:, 0], come[:, 0]))
-        near = (gone[:, 1:].sum(1) <= (more + 2 * fewer)[t] + edits) & (come[:, 1:].sum(1) <= (2 * more + fewer)[t] + edits)
+        near = (gone[:, 0] <= lost[t]) & (come[:, 0] <= got[t])
+        near &= (gone[:, 1:].sum(1) <= (more + 2 * fewer)[t] + edits) & (come[:, 1:].sum(1) <= (2 * more + fewer)[t] + edits)
         return w[near], t[near]
 
     def walk(self, own: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,16 +199,16 @@ class Shelf:
 
         A state belongs to a word and a node, and so to all terms below: a row of distances and the one before.
         """
-        columns = np.arange(self.length + 1)
-        own, at, out = own.astype(np.int64), np.zeros(len(w), np.int64), []
+        columns = np.arange(self.length + 1, dtype=np.int16 if self.length < 1 << 14 else np.int64)
+        at, out = np.zeros(len(w), np.int64), []
         row = before = columns[None]
-        last = np.zeros(1, np.int64)
+        last = np.zeros(1, np.uint32)
         for k in range(self.codes.shape[1]):
             node = self.node[t, k]
             new = np.ones(len(w), bool)
             new[1:] = (w[1:] != w[:-1]) | (node[1:] != node[:-1])
             heads = np.flatnonzero(new)
-            up, x, letter = at[heads], own[w[heads]], self.codes[t[heads], k].astype(np.int64)
+            up, x, letter = at[heads], own[w[heads]], self.codes[t[heads], k]
             old = row[up]
             after = np.minimum(old[:, :-1] + (x != letter[:, None]), old[:, 1:] + 1)
             if k:
@@ -246,7 +246,8 @@ class Matcher:
         self.terms = [t for t in lexicon.weight if reach(t)]
         self.lengths = {n for t in self.terms for n in range(len(t) - reach(t), len(t) + reach(t) + 1)}
         self.shelves: dict[int, Shelf] = {}
-        self.memo: dict[str, float] = {}
+        self.seen: set[str] = set()  # tokens that were looked at, and the weights of those that have one
+        self.known: dict[str, float] = {}
 
     def nearest(self, words: list[str]) -> dict[str, tuple[int, str]]:
         """(edits, term) of the words that are misspelt terms."""
@@ -264,19 +265,16 @@ class Matcher:
     def near(self, word: str) -> tuple[int, str] | None:
         return self.nearest([word]).get(word)
 
-    def weights(self, tokens: list[str]) -> dict[str, float]:
-        """Weights of tokens, which are looked at together; short ones are remembered."""
+    def weights(self, tokens: Iterable[str]) -> dict[str, float]:
+        """Weights of those tokens that have one, which are looked at together."""
         plains = {t: plain(t) for t in tokens}
         exact = self.lexicon.weight
-        near = self.nearest(list({w for w in plains.values() if w not in exact}))
-        out = {t: exact[w] if w in exact else FUZZY_WEIGHT ** near[w][0] * exact[near[w][1]] if w in near else 0.0 for t, w in plains.items()}
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        self.memo.update((t, w) for t, w in out.items() if len(t) <= _LONG)
-        return out
+        near = self.nearest(list(set(plains.values()).difference(exact)))
+        out = {t: FUZZY_WEIGHT ** near[w][0] * exact[near[w][1]] for t, w in plains.items() if w in near} if near else {}
+        return out | {t: exact[w] for t, w in plains.items() if w in exact}
 
     def weigh(self, token: str) -> float:
-        return self.weights([token])[token]
+        return self.weights([token]).get(token, 0.0)
 
     def hits(self, text: str | None) -> list[tuple[str, float]]:
         """(word, weight in its context) of each hit."""
@@ -286,13 +284,18 @@ class Matcher:
         out = []
         for i in range(0, len(texts), _TEXTS):
             split = [t.lower().split() if t else [] for t in texts[i : i + _TEXTS]]
-            known = self.memo
-            new = {t for tokens in split for t in tokens if t not in known}
-            if new:
-                old = {t: known[t] for tokens in split for t in tokens if t not in new}
-                known = old | self.weights(list(new))  # the memo may be cleared, and doesn't hold long tokens
+            new = set().union(*split).difference(self.seen)
+            found = self.weights(new)
+            known = self.known | found
+            if len(self.seen) > _MEMO:
+                self.seen.clear()
+                self.known.clear()
+            self.seen.update(t for t in new if len(t) <= _LONG)
+            self.known.update((t, w) for t, w in found.items() if len(t) <= _LONG)
+            terms = {t for t, w in known.items() if w}
             for tokens in split:
-                out.append([(plain(tokens[k]), w * context(tokens, k)) for k, w in enumerate(map(known.__getitem__, tokens)) if w])
+                some = terms.intersection(tokens)
+                out.append([(plain(t), known[t] * context(tokens, k)) for k, t in enumerate(tokens) if t in some] if some else [])
         return out
 
 
