@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 from longleaf.operators.packing import pack
-from longleaf.plans import documents, estimates, events, flags, glossary, ledger, quality, runs, scalars, segments, store  # noqa: F401
+from longleaf.plans import documents, estimates, events, flags, glossary, ledger, quality, reports, runs, scalars, segments, store  # noqa: F401
 from longleaf.registry import QUERIES, SQL, query, read  # noqa: F401
 from longleaf.registry import TOKENS as _TOKENS
 from longleaf.registry import WORDS as _WORDS
