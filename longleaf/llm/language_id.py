@@ -2,7 +2,8 @@
 
 One model of order ORDER per language is estimated from character n-grams that stay inside a
 word, with its boundaries. All models lie together in sorted arrays of 64-bit n-gram hashes,
-with one row of log probabilities (a column for each language) beside each hash. A text goes
+with one row of log probabilities (a column for each language) beside each hash. What a letter gets
+depends on the n-gram that ends there alone, so a task looks each n-gram up once. A text goes
 to the language of lowest cross-entropy per character. A temperature fitted on labelled rows
 that the counts left out turns entropies into a score. A limit on the entropy, by language and
 length, rejects texts that no model explains; it is a quantile over all labelled rows outside the
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,9 +43,13 @@ QUANTILE = 0.99
 LENGTHS, BINS = 32, 100
 #: Letters alone: numerals such as ² or ½ are none.
 LETTERS = regex.compile(r"\p{L}+")
+#: Of tokens on lines of their own.
+_PARTS = regex.compile(r"\p{L}+|\n")
 _BASE = 0x9E3779B97F4A7C15
 #: Tokens that a task remembers, letters of a token up to which it does, and tokens of a text that are scored at once.
 _MEMO, _LONG, _PART = 100_000, 64, 50_000
+#: Bytes of the log probabilities of n-grams that a task remembers.
+_GRAM_BYTES = 1 << 23
 
 
 def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +60,12 @@ def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, np.cumsum(lens + ORDER - 1) - lens
 
 
-def keys(cps: np.ndarray) -> list[np.ndarray]:
-    """For each order, the hash of the n-gram that ends at each place."""
-    out, total = [], np.zeros_like(cps)
-    for k in range(ORDER):
-        total = total.copy()
-        total[k:] += cps[: len(cps) - k] * _power(k)
-        out.append(C.mix64(total + np.uint64(k + 1)))
-    return out
+def keys(cps: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n-gram that ends at each of these places."""
+    total = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        total += cps[at - k] * _power(k)
+    return C.mix64(total)
 
 
 def _power(k: int) -> np.uint64:
@@ -79,38 +83,37 @@ class Model:
     temperature: float = 1.0
     limit: np.ndarray | None = None  # by language and length
 
-    def words(self, words: list[str]) -> np.ndarray:
+    def words(self, words: list[str], known: Grams | None = None) -> np.ndarray:
         """For each word, its log probability in each language, closing boundary included."""
         cps, first = padded(words)
-        hashed = keys(cps)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         at = np.repeat(first - np.cumsum(lens + 1) + lens + 1, lens + 1) + np.arange(int((lens + 1).sum()))
+        total = self.places(cps, at) if known is None else known.places(self, cps, at)
+        return np.add.reduceat(total, np.cumsum(lens + 1) - lens - 1, axis=0)
+
+    def places(self, cps: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each of these places, the log probability of its letter in each language."""
         total = np.broadcast_to(self.floor, (len(at), len(self.langs))).copy()
         for n in range(ORDER):
             if n:
-                row, found = _find(self.contexts[n], hashed[n - 1][at - 1])
+                row, found = _find(self.contexts[n], keys(cps, at - 1, n))
                 total[found] += self.back[n][row[found]]
-            row, found = _find(self.grams[n], hashed[n][at])
+            row, found = _find(self.grams[n], keys(cps, at, n + 1))
             seen = self.logp[n][row[found]]
             total[found] = np.where(np.isnan(seen), total[found], seen)
-        return np.add.reduceat(total, np.cumsum(lens + 1) - lens - 1, axis=0)
+        return total
 
     def entropies(self, texts: Iterator[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
         """Nats a letter in each language, and how many letters (with boundaries) there are."""
-        out, sizes = [], []
-        for t in texts:
-            total = memo.total(t or "")
-            sizes.append(total[-1])
-            out.append(-total[:-1] / max(total[-1], 1))
-        return np.array(out).reshape(-1, len(self.langs)), np.array(sizes)
+        total = memo.totals([t or "" for t in texts])
+        sizes = total[:, -1]
+        return -total[:, :-1] / np.maximum(sizes, 1)[:, None], sizes
 
     def answers(self, texts: Iterator[str | None], memo: Memo) -> pd.DataFrame:
         texts = list(texts)
         if not self.langs:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "entropy": 0.0, "accepted": False, "letters": 0})
         ce, n = self.entropies(texts, memo)
-        if not len(texts):
-            ce = np.zeros((0, len(self.langs)))
         best = ce.argmin(1)
         rows = np.arange(len(best))
         share = np.exp(-self.temperature * (ce - ce[rows, best][:, None])).sum(1)
@@ -132,47 +135,88 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return at, (sorted_keys[at] == wanted if len(sorted_keys) else np.zeros(len(wanted), bool))
 
 
+class Grams:
+    """Log probabilities by the n-gram of the highest order, in one slot for each remainder of its hash; the last one met has it."""
+
+    def __init__(self, langs: int):
+        size = 1 << max(_GRAM_BYTES // (8 * max(langs, 1)), 1).bit_length() - 1
+        self.of = np.uint64(size - 1)
+        self.keys = ~np.arange(size, dtype=np.uint64)  # no hash of its slot
+        self.rows = np.zeros((size, langs))
+
+    def places(self, model: Model, cps: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the model's `places` gives, which is asked for n-grams that no slot holds."""
+        hashed = keys(cps, at, ORDER)
+        slot = (hashed & self.of).astype(np.int64)
+        out = self.rows[slot]
+        new = np.flatnonzero(self.keys[slot] != hashed)
+        if len(new):
+            _, one, each = np.unique(hashed[new], return_index=True, return_inverse=True)
+            one = new[one]
+            found = model.places(cps, at[one])
+            out[new] = found[each]
+            to, one_of = np.unique(slot[one], return_index=True)
+            self.keys[to], self.rows[to] = hashed[one[one_of]], found[one_of]
+        return out
+
+
 class Memo:
     """Scores of tokens met so far; each batch of new ones is scored at once. Long tokens are scored but not kept."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.grams = model, Grams(len(model.langs))
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.table = {}, np.zeros((1024, len(self.model.langs) + 1))
-
-    def total(self, text: str) -> np.ndarray:
-        """Log probability of a text in each language, and its letters with boundaries."""
-        tokens, out, get = text.lower().split(), np.zeros(self.table.shape[1]), self.at.get
-        for i in range(0, len(tokens), _PART):
-            part = tokens[i : i + _PART]
-            rows = list(map(get, part))
-            if None in rows:
-                if len(self.at) > _MEMO:
-                    self.clear()
-                    rows, get = [None] * len(part), self.at.get
-                new = dict.fromkeys(t for t, r in zip(part, rows, strict=True) if r is None)
-                self.add([t for t in new if len(t) <= _LONG])
-                if long := Counter(t for t in part if len(t) > _LONG):
-                    out += np.array(list(long.values())) @ self.values(list(long))
-                rows = [r for r in map(get, part) if r is not None]
-            out += self.table[rows].sum(0)
+        self.at, self.table = {}, np.zeros((1024, len(self.model.langs) + 1))  # row 0 is of tokens that aren't kept
+
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Log probability of each text in each language, and its letters with boundaries."""
+        out = np.zeros((len(texts), self.table.shape[1]))
+        part, starts, of = [], [], []
+        for i, text in enumerate(texts):
+            tokens = text.lower().split()
+            for j in range(0, len(tokens), _PART):
+                some = tokens[j : j + _PART]
+                if len(part) + len(some) > _PART:
+                    self.sum(part, starts, of, out)
+                    part, starts, of = [], [], []
+                starts.append(len(part))
+                of.append(i)
+                part += some
+        if part:
+            self.sum(part, starts, of, out)
         return out
 
+    def sum(self, part: list[str], starts: list[int], of: list[int], out: np.ndarray) -> None:
+        """Add the tokens from each start to the next to the row of out that they are of; no row comes twice."""
+        new = [t for t in dict.fromkeys(part) if t not in self.at]
+        if len(self.at) > _MEMO and new:
+            self.clear()
+            new = list(dict.fromkeys(part))
+        if new:
+            self.add([t for t in new if len(t) <= _LONG])
+            if long := {t: k for k, t in enumerate(t for t in new if len(t) > _LONG)}:
+                places = [k for k, t in enumerate(part) if t in long]
+                rows = np.array(of)[np.searchsorted(starts, places, "right") - 1]
+                np.add.at(out, rows, self.values(list(long))[[long[part[k]] for k in places]])
+        rows = np.fromiter(map(self.at.get, part, repeat(0)), np.int64, len(part))
+        out[of] += np.add.reduceat(self.table[rows], starts, axis=0)
+
     def values(self, tokens: list[str]) -> np.ndarray:
-        parts = [LETTERS.findall(t) for t in tokens]
-        words = [w for p in parts for w in p]
+        parts = _PARTS.findall("\n".join(tokens))  # a token holds no line feed
+        ends = np.fromiter((p == "\n" for p in parts), bool, len(parts))
+        words = [p for p in parts if p != "\n"]
         out = np.zeros((len(tokens), self.table.shape[1]))
         if words:
             own = np.empty((len(words), out.shape[1]))
-            own[:, :-1] = self.model.words(words)
+            own[:, :-1] = self.model.words(words, self.grams)
             own[:, -1] = [len(w) + 1 for w in words]
-            np.add.at(out, np.repeat(np.arange(len(tokens)), [len(p) for p in parts]), own)
+            np.add.at(out, np.cumsum(ends)[~ends], own)
         return out
 
     def add(self, tokens: list[str]) -> None:
-        n = len(self.at)
+        n = len(self.at) + 1
         while n + len(tokens) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[n : n + len(tokens)] = self.values(tokens)

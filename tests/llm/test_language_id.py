@@ -127,3 +127,22 @@ def test_ties_and_repeated_rows(spark):
     assert got.lang_pred.tolist() == ["de"] * 3 and np.allclose(got.score, 0.5)
     out = spark.createDataFrame([(1, EN)] * 3, "i long, text string").select(L.identify(tied)("text").alias("f")).collect()
     assert len({(r.f.lang_pred, r.f.score) for r in out}) == 1 and len(out) == 3
+
+
+def test_an_ngram_is_looked_up_once(spark, monkeypatch):
+    """Words that are new but made of n-grams met before cost no search; with few slots the answers are the same."""
+    m, memo, looked = model(spark), None, []
+    find = L._find
+    monkeypatch.setattr(L, "_find", lambda keys, wanted: looked.append(len(wanted)) or find(keys, wanted))
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abc"), 12)) for _ in range(400)) for _ in range(20)]
+    memo = L.Memo(m)
+    got = m.answers(texts, memo)
+    places, grams = 20 * 400 * 13, 4**4 * (2 * L.ORDER - 1)
+    assert sum(looked) <= 20 * grams < places
+    monkeypatch.setattr(L, "_GRAM_BYTES", 8 * len(m.langs) * 16)
+    few = L.Memo(m)
+    again = m.answers(texts, few)
+    assert len(few.grams.rows) == 16 and got.equals(again)
+    plain = np.array([m.words(t.split()).sum(0) for t in texts])
+    assert np.allclose(got.entropy, (-plain / 5200).min(1))
