@@ -40,8 +40,8 @@ UNIGRAM, BPE = 1, 2
 MEMO, MEMO_LENGTH = 400_000, 48
 #: Of these, how many a worker keeps from one task to the next.
 KEPT = 120_000
-#: Characters of a stretch whose lattice is remembered for the next that begins alike, and how many of these.
-HEAD, HEADS = 8, 100_000
+#: Lengths of a stretch's beginnings whose lattices are remembered for the next that begins alike, and how many of these.
+HEAD, HEADS = (8, 5), 100_000
 #: Characters between attempts to commit.
 STEP = 64
 #: Pairs of pieces of which a worker remembers whether they stand next to each other.
@@ -108,6 +108,8 @@ class Model:
         pieces_left = [p for p in self.ids if self.kind == UNIGRAM or self.merged(p) == [p]]
         #: Names of the codes of pieces that a text can end in; unknown characters join as they come.
         self.names = ["", *pieces_left]
+        #: By code: the id of the piece, or None if it has none of its own.
+        self.own = [None, *map(self.ids.__getitem__, pieces_left)]
         #: Suffixes of these pieces, with the code of the piece or 0.
         self.code = {p[i:]: 0 for p in pieces_left for i in range(len(p))}
         self.code.update((p, k + 1) for k, p in enumerate(pieces_left))
@@ -117,16 +119,16 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the adjacent pair of best score merges, the leftmost of equals first."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
+        parts, get, never = list(text), self.score.get, -np.inf
+        scores = [get(x, never) for x in map(add, parts, parts[1:])]
+        while scores and (best := max(scores)) > never:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], never)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], never)
         return parts
 
     def neighbours(self, a: int, b: int) -> bool:
@@ -143,6 +145,7 @@ class Model:
     def stranger(self, letter: str) -> int:
         """A new code for a character that no piece ends in."""
         self.names.append(letter)
+        self.own.append(self.ids.get(letter))
         self.fits.append({})
         self.code[letter] = len(self.names) - 1
         return self.code[letter]
@@ -152,40 +155,47 @@ class Model:
 
         first: whether position 0 is where the whole text begins; else the piece that ends there isn't known here.
         """
-        code, fits, bpe = self.code, self.fits, self.kind == BPE
+        if self.kind == BPE:
+            total += [0.0] * (len(text) + 1 - len(size))
+            return self.merge(text, size, last, first)
+        code = self.code
         for end in range(len(size), len(text) + 1):
-            if bpe:  # one piece fits at most, so the shortest is tried first; if none is known to, it is the last letter
-                best, n = 0.0, 1
-                one = k = code.get(text[end - 1]) or self.stranger(text[end - 1])
-                while True:
-                    if k:
-                        at = end - n
-                        if at:
-                            fit = fits[last[at]].get(k)
-                            if fit or fit is None and self.neighbours(last[at], k):
-                                break
-                        elif first:
-                            break
-                    n += 1
-                    k = code.get(text[end - n : end]) if n <= end else None
-                    if k is None:
-                        n, k = 1, one
-                        break
-            else:
-                found = []
-                for n in range(1, end + 1):
-                    k = code.get(text[end - n : end])
-                    if n == 1:
-                        k = k or self.stranger(text[end - 1])
-                    elif k is None:
-                        break
-                    if k:
-                        found.append((n, k))
-                best, n, k = max((total[end - n] + self.score.get(self.names[k], self.penalty), n, k) for n, k in found)
+            found = []
+            for n in range(1, end + 1):
+                k = code.get(text[end - n : end])
+                if n == 1:
+                    k = k or self.stranger(text[end - 1])
+                elif k is None:
+                    break
+                if k:
+                    found.append((n, k))
+            best, n, k = max((total[end - n] + self.score.get(self.names[k], self.penalty), n, k) for n, k in found)
             size.append(n)
             last.append(k)
             total.append(best)
 
+    def merge(self, text: str, size: list[int], last: list[int], first: bool) -> None:
+        """`extend` of a BPE model: one piece fits at most, so the shortest is tried first; if none is known to, it is the last letter."""
+        get, fits = self.code.get, self.fits
+        for end in range(len(size), len(text) + 1):
+            at = end - 1
+            k = one = get(text[at]) or self.stranger(text[at])
+            while True:
+                if k:
+                    if at:
+                        fit = fits[last[at]].get(k)
+                        if fit or fit is None and self.neighbours(last[at], k):
+                            break
+                    elif first:
+                        break
+                at -= 1
+                k = get(text[at:end]) if at >= 0 else None
+                if k is None:
+                    at, k = end - 1, one
+                    break
+            size.append(end - at)
+            last.append(k)
+
     def id_of(self, piece: str) -> tuple[int, ...]:
         i = self.ids.get(piece)
         if i is not None:
@@ -197,9 +207,9 @@ class Model:
 class Window:
     """The lattice of what isn't committed yet of a stretch that comes in parts."""
 
-    def __init__(self, model: Model, begun: tuple[str, list, list, list] | None = None):
+    def __init__(self, model: Model):
         self.model, self.first = model, True  # whether the window begins where the stretch does
-        self.text, self.size, self.last, self.total = begun or ("", [0], [0], [0.0])
+        self.text, self.size, self.last, self.total = "", [0], [0], [0.0]
         self.widest = 0  # positions held at once, for tests
 
     def push(self, part: str) -> list[str]:
@@ -308,7 +318,7 @@ class Codec:
     def __init__(self, data: bytes):
         self.model = m = Model(data)
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.heads: dict[str, tuple[list, list, list]] = {}
+        self.heads: dict[str, tuple[tuple, tuple, tuple]] = {}
         apart = re.escape(m.apart)
         self.stretches = re.compile(f"{BLANK}+[^{BLANK}{apart}]*|[^{BLANK}{apart}]+" + (f"|[{apart}]" if apart else "")).findall if m.by_blank else lambda t: [t]
         self.after_blank, self.after_letter = re.compile(f"{BLANK}*[^{BLANK}{apart}]*").match, re.compile(f"[^{BLANK}{apart}]*").match
@@ -343,31 +353,40 @@ class Codec:
         return self.windowed(text)
 
     def windowed(self, text: str) -> tuple[int, ...]:
-        """The ids of what lies between two certain boundaries, by its window. The lattice of its beginning may be known."""
-        m = self.model
-        if HEAD < len(text) <= MEMO_LENGTH:
-            head = text[:HEAD]
-            known = self.heads.get(head)
-            if known is None:
-                window = Window(m)
-                window.push(head)
-                if len(self.heads) > HEADS:
-                    self.heads.clear()
-                known = self.heads[head] = (window.size, window.last, window.total)
-            window = Window(m, (head, known[0][:], known[1][:], known[2][:]))
-            pieces = window.push(text[HEAD:])
-        else:
+        """The ids of what lies between two certain boundaries, by its window; a short one is committed when it ends."""
+        m, end = self.model, len(text)
+        if end > MEMO_LENGTH:
             window = Window(m)
-            pieces = window.push(text)
-        pieces += window.finish()
-        get = m.ids.get
-        ids = tuple(map(get, pieces))
+            pieces = window.push(text) + window.finish()
+            return tuple(chain.from_iterable(map(m.id_of, pieces)))
+        size, last = self.lattice(text, HEAD)[:2]
+        path = []
+        while end:
+            path.append(last[end])
+            end -= size[end]
+        ids = tuple(map(m.own.__getitem__, reversed(path)))
         if None in ids:
-            ids = tuple(chain.from_iterable(map(m.id_of, pieces)))
-        if len(text) <= MEMO_LENGTH:
-            self.memo[text] = ids
+            ids = tuple(chain.from_iterable(map(m.id_of, map(m.names.__getitem__, reversed(path)))))
+        self.memo[text] = ids
         return ids
 
+    def lattice(self, text: str, head: tuple[int, ...]) -> tuple[list, list, list]:
+        """The whole lattice of a text, that of its beginning as it is remembered at these lengths."""
+        size, last, total = [0], [0], [0.0]
+        for i, n in enumerate(head):
+            if len(text) > n:
+                known = self.heads.get(text[:n])
+                if known is None:
+                    size, last, total = self.lattice(text[:n], head[i + 1 :])
+                    if len(self.heads) > HEADS:
+                        self.heads.clear()
+                    self.heads[text[:n]] = tuple(size), tuple(last), tuple(total)
+                else:
+                    size, last, total = map(list, known)
+                break
+        self.model.extend(text, size, last, total, True)
+        return size, last, total
+
     def encode(self, text: str) -> list[int]:
         stream = Stream(self)
         ids = stream.push(text)

@@ -1,5 +1,6 @@
 """Codec, token counts, toxicity, URLs and pages."""
 
+import itertools
 import random
 
 import pytest
@@ -385,3 +386,20 @@ def test_signs_rule_out_no_misspelt_term():
     for w in words:
         near = [(d, -terms[t], t) for t in terms if X.reach(t) and (d := swapped(w, t)) <= X.reach(t)]
         assert got.get(w) == ((min(near)[0], min(near)[2]) if near else None)
+
+
+def test_known_beginnings_are_not_read_again():
+    """Short words that begin alike cost the lattice their ends only, and get the ids that merging gives."""
+    codec, read = S.Codec(S.read_model()), []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            read.append(key)
+            return dict.get(self, key, default)
+
+    codec.model.code = Counted(codec.model.code)
+    words = [f"thou{a}{b}{c}" for a in "aeiou" for b in "rstnl" for c in "aeihy"]
+    got = [codec.encode(w) for w in words]
+    begun = len(S.BLANK + "thou")
+    assert len([k for k in read if len(k) == 1]) <= begun + len(words) * (len(S.BLANK + words[0]) - begun)
+    assert got == [[*itertools.chain.from_iterable(map(codec.model.id_of, codec.model.merged(S.BLANK + w)))] for w in words]
