@@ -38,3 +38,20 @@ def test_months_are_found_once():
 ])
 def test_lost_spans(source, target, lost):
     assert [x for x in P.lost(source, target) if x[1] != "March"] == lost
+
+
+def test_abbreviations_before_other_ends():
+    assert S.sentences("Dr. Who? No. 5 e. Then! Yes! end.") == ["Dr. Who? No. 5 e. Then! Yes! end."]
+    assert S.sentences("No way. Mr! x, est. A? B") == ["No way.", "Mr!", "x, est. A? B"]
+    text = "Mr. " + "word? " * 40_000
+    began = time.process_time()
+    assert S.sentences(text) == [text.strip()]
+    assert time.process_time() - began < 5
+
+
+def test_batches_of_texts_are_short(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("One. Two"), "id").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.QUERIES["narration_coverage"](spark, str(tmp_path))
+    assert rows.filter("any and too_long = 0").count() == 3000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
