@@ -76,9 +76,10 @@ def narration_coverage(spark, d):
 @query(None)
 def narration_plan(spark, d):
     """Pieces of each document in order, with what stands before and after, an identity of all that, and a file name."""
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(narration_pieces(F.coalesce("text", F.lit("")), F.lit(PIECE))).alias("place", "text"))
-    order = Window.partitionBy("doc_id").orderBy("place")
-    rows = rows.withColumns({"before": F.right(F.lag("text").over(order), F.lit(100)), "after": F.left(F.lead("text").over(order), F.lit(100))})
+    rows = read(spark, d, "documents").select("doc_id", narration_pieces(F.coalesce("text", F.lit("")), F.lit(PIECE)).alias("p"))
+    # what stands beside a piece is in the same row: nothing is shuffled or sorted
+    near = F.transform("p", lambda x, i: F.struct(x.alias("text"), F.right(F.get("p", i - 1), F.lit(100)).alias("before"), F.left(F.get("p", i + 1), F.lit(100)).alias("after")))
+    rows = rows.select("doc_id", F.posexplode(near).alias("place", "x")).select("doc_id", "place", "x.*")
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("text", "before", "after")]
     identity = F.sha2(F.concat(*[x for p in parts for x in (F.lpad(F.octet_length(p).cast("string"), 10, "0"), p)]), 256)
     name = F.format_string("chapter-%d-part-%d-%s.mp3", F.col("doc_id"), F.col("place"), F.left(identity, F.lit(16)))

@@ -49,6 +49,15 @@ def test_abbreviations_before_other_ends():
     assert time.process_time() - began < 5
 
 
+def test_pieces_know_their_neighbours_without_a_shuffle(spark):
+    rows = catalog.QUERIES["narration_plan"](spark, DATA)
+    assert "Exchange" not in plan(rows)
+    rows = rows.filter("doc_id % 10 = 0").orderBy("doc_id", "place").collect()
+    assert any(r.place for r in rows)
+    for a, b in zip(rows, rows[1:], strict=False):
+        assert (b.before is None) == (b.place == 0) and (a.after is None) == (a.doc_id != b.doc_id)
+
+
 def test_batches_of_texts_are_short(spark, tmp_path):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("One. Two"), "id").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
