@@ -1,5 +1,6 @@
 """Python functions as column functions, in Arrow batches: for what walks a text with a stack or a state."""
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -8,10 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from longleaf.functions.text import BLANKS
+
+_BLANK = "[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{m[1]}", BLANKS) + "]+"
 #: Rows of a batch at most, and those of them that are Python objects at a time: whole texts are long.
 BATCH, SLICE = 500, 50
 
 
+def blank_words(text: str) -> list[str]:
+    """Words between blanks of Unicode; four separators of ASCII, at which Python splits too, are none."""
+    return re.split(_BLANK, text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+
 def short_batches() -> None:
     """Lower the session's batches, so that a worker's memory doesn't grow with the rows of its task."""
     spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from longleaf.functions import findings, numbers
 from longleaf.functions import text as T
+from longleaf.functions.udf import blank_words, mapped
 from longleaf.registry import WORDS, query, read
 
 #: Least share of blanks to letters of a script that puts blanks between words; fixed value.
@@ -51,6 +55,21 @@ _KINDS = (
     ("number", r"^[-+]?[0-9][0-9.,:/%+-]*(st|nd|rd|th)?$"),
     ("filename", r"^[A-Za-z0-9_.-]+[.](txt|md|csv|json|xml|html|pdf|epub|png|jpg|zip|py|rs|toml)$"),
 )
+_PATTERNS = [(kind, re.compile(p)) for kind, p in _KINDS]
+
+
+def _word_kinds(text: str) -> list[dict]:
+    """How many words of a text are of each kind. Letters alone fit none, nor do words without a sign of one."""
+    out = Counter()
+    for word in blank_words(text):
+        if not word.isalpha() and _TELLING.search(word):
+            v = word.lstrip("([\"'").rstrip(")],;:.!?\"'")
+            out[next((kind for kind, p in _PATTERNS if p.search(v)), None)] += 1
+    return [{"kind": k, "n": n} for k, n in out.items() if k]
+
+
+_TELLING = re.compile("[0-9@#]|://|[.][a-z]")
+word_kinds = mapped(_word_kinds, "array<struct<kind: string, n: long>>")
 _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{k}'" for k, p in _KINDS) + " END"
 
 
@@ -58,12 +77,9 @@ _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{k}'" for k
 k AS (SELECT doc_id, {_KIND_SQL} AS kind FROM (SELECT doc_id, regexp_replace(w, '^[(\[\x22'']+|[)\],;:.!?\x22'']+$', '', 'g') AS v FROM t))
 SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k WHERE kind IS NOT NULL GROUP BY kind""")
 def protected_span_kinds(spark, d):
-    """Words that a translation must keep, by the first kind that they fit. Only words with a sign of one are looked at."""
-    telling = f"(?<![^{T.BLANKS}])(?=[^{T.BLANKS}]*?(?:[0-9@#]|://|[.][a-z]))[^{T.BLANKS}]++"
-    words = F.regexp_extract_all("text", F.lit(telling), 0)
-    v = F.regexp_replace(F.col("w"), r"^[(\[\x22']+|[)\],;:.!?\x22']+$", "")
-    rows = read(spark, d, "documents").select("doc_id", F.explode(words).alias("w")).select("doc_id", v.alias("v"))
-    per = rows.select("doc_id", T.first_kind(F.col("v"), _KINDS).alias("kind")).filter("kind is not null").groupBy("kind", "doc_id").agg(F.count("*").alias("n"))
+    """Words that a translation must keep, by the first kind that they fit, counted within their text."""
+    rows = read(spark, d, "documents").select("doc_id", F.explode(word_kinds("text")).alias("k"))
+    per = rows.groupBy("k.kind", "doc_id").agg(F.sum("k.n").alias("n"))
     return per.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 

@@ -64,3 +64,11 @@ def test_batches_of_texts_are_short(spark, tmp_path):
     rows = catalog.QUERIES["narration_coverage"](spark, str(tmp_path))
     assert rows.filter("any and too_long = 0").count() == 3000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_word_kinds_are_counted_in_their_row(spark):
+    rows = catalog.QUERIES["protected_span_kinds"](spark, DATA)
+    assert "ArrowEvalPython" in plan(rows)  # not one row a word by patterns over each character
+    from longleaf.plans.scalars import _word_kinds
+
+    assert _word_kinds("(https://a.b/c) x@y.org, 12. 3rd\x1cx 4th #a　[@b] plain hy-phen") == [{"kind": k, "n": 1} for k in ("url", "email")] + [{"kind": "number", "n": 2}] + [{"kind": k, "n": 1} for k in ("anchor", "citation")]
