@@ -72,3 +72,12 @@ def test_word_kinds_are_counted_in_their_row(spark):
     from longleaf.plans.scalars import _word_kinds
 
     assert _word_kinds("(https://a.b/c) x@y.org, 12. 3rd\x1cx 4th #a　[@b] plain hy-phen") == [{"kind": k, "n": 1} for k in ("url", "email")] + [{"kind": "number", "n": 2}] + [{"kind": k, "n": 1} for k in ("anchor", "citation")]
+
+
+def test_repetition_by_words(spark):
+    from longleaf.functions import findings
+
+    cases = {"no No, (no) NO": True, "no no no": False, "no no no-no no": False, "é - x x … x é x": True, "a\x1ca a a a": False, "Kk k k k": False, "İ x x x x": True, "": False, "- - - -": False}
+    rows = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", findings.repetition(F.col("t")).alias("r"))
+    assert "ArrowEvalPython" in plan(rows)  # not three patterns over each character
+    assert {r.t: r.r for r in rows.collect()} == {**cases, None: False}
