@@ -21,7 +21,8 @@ _UNIT = r"[\p{L}\p{N}'']+"
 
 def pairs(spark, d) -> DataFrame:
     """Documents as pairs: a third unchanged, a third without each 15th word, a third without each second."""
-    source = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), T.SPACE + "+", " "))
+    # single spaces stay as they are, so only other blanks are replaced
+    source = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f" {T.SPACE}++|(?![ !-~]){T.SPACE}++", " "))
     rows = read(spark, d, "documents").select("doc_id", source.alias("source"))
     w = F.split("source", " ")
     without = lambda n: F.array_join(F.filter(w, lambda x, i: (i + 1) % n != 0), " ")
