@@ -94,13 +94,19 @@ SELECT book, w AS term, tf, df FROM s QUALIFY row_number() OVER (PARTITION BY bo
 def candidate_tfidf(spark, d):
     """The words of each book that recur and are bound to few documents: as many as the root of its words.
 
-    Words are counted a document at a time before they meet, so a book of a third of all rows shuffles only
-    its counts; the ranking goes over a book's vocabulary, not its words.
+    A document's words are sorted within its row, where the first of equal ones counts the document, so that tasks
+    shuffle sums of a book's words alone. Only where documents come in several rows do their texts meet first. The
+    ranking goes over a book's vocabulary, not its words.
     """
-    docs = read(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("book"), "doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("w"))
-    per = docs.groupBy("book", "doc_id", F.lower("w").alias("term")).agg(F.count("*").alias("n"))
-    books = per.groupBy("book", "doc_id").agg(F.sum("n").alias("n")).groupBy("book").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
-    counts = per.filter(F.length("term") >= 2).groupBy("book", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).filter("tf >= 2")
+    docs = read(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("book"), "doc_id", "text")
+    if not docs.groupBy("book", "doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.groupBy("book", "doc_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    words = F.array_sort(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0), F.lower))
+    rows = docs.select("book", words.alias("w")).select("book", F.posexplode("w").alias("i", "term"), "w")
+    rows = rows.select("book", "term", (F.col("i") == 0).alias("head"), F.coalesce(F.col("term") != F.get("w", F.col("i") - 1), F.lit(True)).alias("first"))
+    per = rows.groupBy("book", "term").agg(F.count("*").alias("tf"), F.count_if("first").alias("df"), F.count_if("head").alias("docs"))
+    books = per.groupBy("book").agg(F.sum("tf").alias("tokens"), F.sum("docs").alias("docs"))
+    counts = per.filter((F.length("term") >= 2) & (F.col("tf") >= 2)).select("book", "term", "tf", "df")
     score = F.round(F.log(1 + F.col("tf")) * F.log((F.col("docs") + 1) / (F.col("df") + 1)), 9)
     ranked = counts.join(books, "book").withColumn("score", score)
     k = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("score"), F.desc("tf"), "term"))

@@ -77,7 +77,16 @@ def test_word_kinds_are_counted_in_their_row(spark):
 def test_repetition_by_words(spark):
     from longleaf.functions import findings
 
-    cases = {"no No, (no) NO": True, "no no no": False, "no no no-no no": False, "é - x x … x é x": True, "a\x1ca a a a": False, "Kk k k k": False, "İ x x x x": True, "": False, "- - - -": False}
+    cases = {"no No, (no) NO": True, "no no no": False, "no no no-no no": False, "é - x x … x é x": True, "a\x1ca a a a": False, "Kk k k k": True, "İ x x x x": True, "": False, "- - - -": False}
     rows = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", findings.repetition(F.col("t")).alias("r"))
     assert "ArrowEvalPython" in plan(rows)  # not three patterns over each character
     assert {r.t: r.r for r in rows.collect()} == {**cases, None: False}
+
+
+def test_words_of_documents_are_counted_in_their_row(spark, tmp_path):
+    rows = catalog.QUERIES["candidate_tfidf"](spark, DATA)
+    assert "hashpartitioning(book" in plan(rows) and "doc_id" not in plan(rows).split("Exchange hashpartitioning(book", 1)[1].split("\n", 1)[0]
+    docs = [(1, "b", "One one two"), (1, "b", "two tree tree"), (2, "b", "two"), (3, "b", None), (4, None, "x xx xx")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["candidate_tfidf"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("", "xx", 2, 1), ("b", "one", 2, 1), ("b", "tree", 2, 1), ("b", "two", 3, 2)]
