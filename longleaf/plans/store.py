@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import findings
 from longleaf.functions import text as T
-from longleaf.registry import query, read
+from longleaf.registry import dealt, query, read
 
 #: Status of a segment by the line's flags, and sets of status; fixed values.
 STATUS = "CASE l_returnflag WHEN 'A' THEN 'succeeded' WHEN 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'failed' ELSE 'needs_review' END ELSE CASE l_linestatus WHEN 'O' THEN 'queued' ELSE 'skipped_cached' END END"
@@ -61,8 +61,10 @@ def attempt_ordinal_append(spark, d):
     """Attempts numbered after those that a job has already."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     begun = read(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy("o_orderkey").agg(F.count("*").alias("begun"))
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").join(begun, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.row_number().over(order) - 1 + F.coalesce("begun", F.lit(0))).cast("long").alias("ordinal"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # numbered before the join, which needs no other order: lines are sorted once
+    rows = dealt(rows, "l_orderkey", rows).withColumn("k", F.row_number().over(order)).drop("l_quantity").join(begun, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("k") - 1 + F.coalesce("begun", F.lit(0))).cast("long").alias("ordinal"))
 
 
 @query("""SELECT doc_id, CASE WHEN l.quality = 1 THEN d.lang ELSE coalesce(l.new, d.lang) END AS lang, l.quality = 1 AS frozen FROM documents d LEFT JOIN

@@ -90,3 +90,14 @@ def test_words_of_documents_are_counted_in_their_row(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.QUERIES["candidate_tfidf"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [("", "xx", 2, 1), ("b", "one", 2, 1), ("b", "tree", 2, 1), ("b", "two", 3, 2)]
+
+
+@pytest.mark.parametrize("name", ["attempt_ordinal_append", "job_summary"])
+def test_tasks_follow_the_size_of_tables(spark, monkeypatch, name):
+    from longleaf import registry
+
+    before = sorted(map(repr, catalog.QUERIES[name](spark, DATA).collect()))
+    monkeypatch.setattr(registry, "SHARE", 4096)
+    rows = catalog.QUERIES[name](spark, DATA)
+    assert "REPARTITION_BY_NUM" in plan(rows)
+    assert plan(rows).count("Sort [l_orderkey") <= 2 and sorted(map(repr, rows.collect())) == before
