@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longleaf.plans.store import RESOLVED, STATUS
-from longleaf.registry import query, read
+from longleaf.registry import dealt, query, read
 
 #: Status of a segment that ended with a translation, and all that are known; fixed values.
 TERMINAL = (*RESOLVED, "needs_review")
@@ -50,15 +50,19 @@ FROM orders LEFT JOIN t ON t.job = o_orderkey LEFT JOIN a ON a.job = o_orderkey"
 def job_summary(spark, d):
     """Each job's segments by status and its tokens: of a segment with attempts in the ledger these count, of any other its own columns.
 
-    One shuffle of segments by job: the ledger joins per segment, and both sides of a job meet as sums.
+    One shuffle: segments and attempts go by job together, meet per segment as sums, and these per job.
     """
-    ledger = attempts(spark, d).groupBy("job", "segment").agg(F.sum("tin").alias("tin"), F.sum("tcached").alias("tcached"), F.sum("tout").alias("tout"))
-    own = segments(spark, d).groupBy("job", "ordinal").agg(
-        F.count("*").alias("segments"), *[F.count_if(F.col("status") == v).alias(k) for k, v in _COUNTS.items()], F.count_if(F.col("attempts") > 1).alias("retried"),
-        F.sum(F.coalesce("tokens_input", "input_tokens")).alias("oin"), F.sum("tokens_input_cached").alias("ocached"), F.sum(F.coalesce("tokens_output", "output_tokens")).alias("oout"))
-    both = own.join(ledger.withColumnsRenamed({"job": "j"}), (F.col("job") == F.col("j")) & (F.col("ordinal") == F.col("segment")), "left")
+    own = segments(spark, d)
+    no = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+    own = own.select(
+        "job", "ordinal", F.lit(1).alias("segments"), *[(F.col("status") == v).cast("int").alias(k) for k, v in _COUNTS.items()], (F.col("attempts") > 1).cast("int").alias("retried"),
+        F.coalesce("tokens_input", "input_tokens").alias("oin"), F.col("tokens_input_cached").alias("ocached"), F.coalesce("tokens_output", "output_tokens").alias("oout"), *no("tin", "tcached", "tout"))
+    counts = ("segments", *_COUNTS, "retried")
+    ledger = attempts(spark, d).select("job", F.col("segment").alias("ordinal"), *[F.lit(None).cast("int").alias(c) for c in counts], *no("oin", "ocached", "oout"), "tin", "tcached", "tout")
+    both = dealt(own.unionByName(ledger), "job", own, ledger)
+    both = both.groupBy("job", "ordinal").agg(*[F.sum(c).alias(c) for c in (*counts, "oin", "ocached", "oout", "tin", "tcached", "tout")])
     total = lambda new, old: F.sum(F.coalesce(new, old)).alias(new)
-    per = both.groupBy("job").agg(F.sum("segments").alias("segments"), *[F.sum(k).alias(k) for k in (*_COUNTS, "retried")], total("tin", "oin"), total("tcached", "ocached"), total("tout", "oout"))
+    per = both.groupBy("job").agg(*[F.sum(c).alias(c) for c in counts], total("tin", "oin"), total("tcached", "ocached"), total("tout", "oout"))
     jobs = read(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(per, F.col("o_orderkey") == F.col("job"), "left")
     zero = lambda c, n: F.coalesce(c, F.lit(0)).cast("long").alias(n)
     return jobs.select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status"), *[zero(c, c) for c in ("segments", *_COUNTS, "retried")], zero("tin", "tokens_in"), zero("tcached", "tokens_cached"), zero("tout", "tokens_out"))
